@@ -20,13 +20,20 @@ HOT_ROWS = 4_000_000
 QUANTILE_BUCKETS = 4096
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A column as a double that keeps its order; timestamps become microseconds."""
+    if df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
 def hot_groups(df: DataFrame, keys: list[str], order: str | None = None,
                hot_rows: int | None = None) -> DataFrame | None:
     """Groups above the limit with their size and range, or None where there are none.
 
     Runs one map-side-combined count now, so that ordinary data gets the short plan.
     """
-    value = F.col(order).cast("double") if order else F.lit(0.0)
+    value = _number(df, order) if order else F.lit(0.0)
     hot = (df.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
              .where(F.col("_n") > (hot_rows or HOT_ROWS)))
@@ -42,7 +49,7 @@ def order_buckets(df: DataFrame, keys: list[str], order: str, hot_rows: int | No
 
 
 def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: str, hot_rows: int | None) -> DataFrame:
-    value = F.col(order).cast("double")
+    value = _number(df, order)
     n_buckets = F.ceil(F.col("_n") / F.lit(hot_rows or HOT_ROWS))
     spot = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_buckets)
     bucket = (F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))

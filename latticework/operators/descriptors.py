@@ -134,11 +134,11 @@ def density_grid(grid: DataFrame, structures: DataFrame) -> DataFrame:
 
 
 def dense_rdf(rdf: DataFrame, grid: DataFrame) -> DataFrame:
-    """One 64-bin float array per type pair."""
+    """One 64-bin array per type pair."""
     packed = rdf.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("bin", "g"))).alias("_m"))
     return (grid.select(*PAIR).join(packed, PAIR, "left")
                 .select(*PAIR, F.transform(F.sequence(F.lit(0), F.lit(N_BINS - 1)), lambda b: F.coalesce(
-                    F.try_element_at("_m", b), F.lit(0.0)).cast("float")).alias("rdf")))
+                    F.try_element_at("_m", b), F.lit(0.0))).alias("rdf")))
 
 
 def compute_features(atoms: DataFrame, structures: DataFrame, with_env: bool = True,

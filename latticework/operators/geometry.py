@@ -49,19 +49,22 @@ def map_elements(atoms: DataFrame, elements: DataFrame, symbol: str = "symbol")
 
 def wrap_positions(atoms: DataFrame, structures: DataFrame) -> DataFrame:
     """Unwrap by image flags, then wrap into the cell. Uses origin and ix/iy/iz where present."""
-    has_origin = "origin" in structures.columns
-    cells = structures.select("structure_id", "cell", *(["origin"] if has_origin else []))
-    joined = atoms.join(cells, "structure_id")
-    point = [F.col(c) - (F.col("origin")[k] if has_origin else F.lit(0.0)) for k, c in enumerate(XYZ)]
+    keep = ["structure_id"]
+    if "origin" in structures.columns:
+        structures = structures.selectExpr("structure_id", "cell", "origin[0] AS ox", "origin[1] AS oy", "origin[2] AS oz")
+        keep += ["ox", "oy", "oz"]
+    others = [c for c in atoms.columns if c not in (*XYZ, "ix", "iy", "iz")]
+    joined = atoms.join(L.expand_cells(structures, keep), "structure_id")
+    point = [f"{c} - o{c}" if len(keep) > 1 else c for c in XYZ]
     if "ix" in atoms.columns:
-        shift = L.times([F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("ix", "iy", "iz")], F.col("cell"))
-        point = [p + s for p, s in zip(point, shift)]
-    frac = L.times(point, L.inverse(F.col("cell")))
-    step = joined.withColumns({f"_f{k}": L.wrap_unit(f) for k, f in enumerate(frac)})
-    placed = L.times([F.col(f"_f{k}") for k in range(3)], F.col("cell"))
-    periodic = F.col("cell").isNotNull()
-    step = step.withColumns({c: F.when(periodic, p).otherwise(F.col(c)) for c, p in zip(XYZ, placed)})
-    return step.drop("_f0", "_f1", "_f2", "cell", "origin", "ix", "iy", "iz")
+        point = [f"{p} + coalesce(ix, 0) * a0{k} + coalesce(iy, 0) * a1{k} + coalesce(iz, 0) * a2{k}"
+                 for k, p in enumerate(point)]
+    cells = [f"{n}{r}{k}" for n in "av" for r in range(3) for k in range(3)]
+    # a structure without a cell has null cell columns and keeps its raw coordinates
+    step = joined.selectExpr(*others, *[f"{c} AS raw_{c}" for c in XYZ], *cells, *[f"{p} AS p{k}" for k, p in enumerate(point)])
+    step = step.selectExpr("*", *[f"{L.fraction_sql(k, 'p0', 'p1', 'p2')} AS u{k}" for k in range(3)])
+    step = step.selectExpr("*", *[f"{L.wrap_sql(f'u{k}')} AS f{k}" for k in range(3)])
+    return step.selectExpr(*others, *[f"coalesce({L.cartesian_sql(k)}, raw_{c}) AS {c}" for k, c in enumerate(XYZ)])
 
 
 def cell_geometry(structures: DataFrame, reach: float = R_MAX) -> DataFrame:

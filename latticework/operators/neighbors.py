@@ -22,20 +22,8 @@ SMALL = 256
 def _axis_grid(structures: DataFrame, r_max: float) -> DataFrame:
     """One row per structure: inverse cell v, metric w (d2 = sum w_kl f_k f_l), and per axis the number of
     grid cells g, image reach m (periodic and thinner than two cutoffs) and nearest-image switch nr."""
-    nxt = {0: (1, 2), 1: (2, 0), 2: (0, 1)}
-    flat = structures.selectExpr("structure_id", "pbc", "n_atoms",
-                                 *[f"cell[{r}][{k}] AS a{r}{k}" for r in range(3) for k in range(3)])
-    # faces: x{r}{k} is component k of the cross product of the two other lattice rows
-    faces = flat.selectExpr("*", *[
-        f"a{nxt[r][0]}{nxt[k][0]} * a{nxt[r][1]}{nxt[k][1]} - a{nxt[r][0]}{nxt[k][1]} * a{nxt[r][1]}{nxt[k][0]} AS x{r}{k}"
-        for r in range(3) for k in range(3)])
-    solid = faces.selectExpr("*", "a00 * x00 + a01 * x01 + a02 * x02 AS det")
     metric = [(r, k) for r in range(3) for k in range(r, 3)]
-    sized = solid.selectExpr(
-        "structure_id", "pbc", "n_atoms",
-        *[f"abs(det) / sqrt(x{r}0 * x{r}0 + x{r}1 * x{r}1 + x{r}2 * x{r}2) AS h{r}" for r in range(3)],
-        *[f"x{k}{r} / det AS v{r}{k}" for r in range(3) for k in range(3)],
-        *[f"{1.0 if r == k else 2.0}D * (a{r}0 * a{k}0 + a{r}1 * a{k}1 + a{r}2 * a{k}2) AS w{r}{k}" for r, k in metric])
+    sized = L.expand_cells(structures, ["structure_id", "pbc", "n_atoms"])
     fixed = []
     for k in range(3):
         thin = f"(pbc AND h{k} < {2 * r_max})"
@@ -68,8 +56,8 @@ def neighbor_pairs(atoms: DataFrame, structures: DataFrame, r_max: float = R_MAX
                    .join(_axis_grid(structures, r_max), "structure_id"))
     carried = ["structure_id", "atom_id", "type_id", *metric,
                *[f"{n}{k}" for n in ("g", "m", "nr") for k in axes]]
-    placed = placed.selectExpr(*carried, "pbc", *[f"x * v0{k} + y * v1{k} + z * v2{k} AS u{k}" for k in axes])
-    placed = placed.selectExpr(*carried, *[f"if(pbc, u{k} - floor(u{k}), u{k}) AS f{k}" for k in axes])
+    placed = placed.selectExpr(*carried, "pbc", *[f"{L.fraction_sql(k)} AS u{k}" for k in axes])
+    placed = placed.selectExpr(*carried, *[f"if(pbc, {L.wrap_sql(f'u{k}')}, u{k}) AS f{k}" for k in axes])
     placed = placed.selectExpr("*", *[f"CAST(greatest(least(floor(f{k} * g{k}), g{k} - 1), 0) AS INT) AS c{k}"
                                       for k in axes])
     # coalesced: a key that cannot be null needs no derived null filter

@@ -77,32 +77,28 @@ def interior_crop(atoms: DataFrame, structures: DataFrame, max_atoms: int,
     Structures that are small, open, too thin to crop or left with too few clean centres pass unchanged
     with every atom a centre. The crop keeps only a non-periodic bounding cell.
     """
-    high = L.heights(F.col("cell"))
-    shrink = F.pow(F.lit(float(max_atoms)) / F.col("n_atoms"), 1 / 3)
-    plan = structures.withColumns({f"h{k}": h for k, h in enumerate(high)})
-    plan = plan.withColumns({f"q{k}": F.least(F.lit(1.0), F.greatest(
-        shrink, F.lit(2 * R_MAX + 4.0) / F.col(f"h{k}"))) for k in range(3)})
-    full_axis = F.greatest("q0", "q1", "q2") >= 1.0 - 1e-9
-    wide = ~(full_axis & (F.col("q0") * F.col("q1") * F.col("q2") > 0.9))
-    plan = plan.where((F.col("n_atoms") > max_atoms) & F.col("pbc") & wide).select(
-        "structure_id", "cell", *[f"h{k}" for k in range(3)], *[f"q{k}" for k in range(3)])
-    joined = atoms.join(plan, "structure_id")
-    frac = L.times([F.col(c) for c in "xyz"], L.inverse(F.col("cell")))
-    joined = joined.withColumns({f"f{k}": L.wrap_unit(f) for k, f in enumerate(frac)})
-    keep, inside = F.lit(True), F.lit(True)
-    for k in range(3):
-        f, q, margin = F.col(f"f{k}"), F.col(f"q{k}"), F.lit(R_MAX) / F.col(f"h{k}")
-        keep = keep & (f < q)
-        inside = inside & (f >= margin) & (f < q - margin)
-    placed = L.times([F.col(f"f{k}") for k in range(3)], F.col("cell"))
-    joined = joined.where(keep).withColumn("is_center", inside).withColumns(dict(zip("xyz", placed)))
+    axes = range(3)
+    plan = L.expand_cells(structures.where("pbc"), ["structure_id", "n_atoms"]).where(F.col("n_atoms") > max_atoms)
+    shrink = f"power({float(max_atoms)!r}D / n_atoms, 1D / 3D)"
+    plan = plan.selectExpr("*", *[f"least(1D, greatest({shrink}, {2 * R_MAX + 4.0}D / h{k})) AS q{k}" for k in axes])
+    plan = plan.where("NOT (greatest(q0, q1, q2) >= 1D - 1e-9D AND q0 * q1 * q2 > 0.9D)")
+    joined = atoms.join(plan.drop("n_atoms"), "structure_id")
+    cells = [f"a{r}{k}" for r in axes for k in axes]
+    sizes = [f"{n}{k}" for n in "hq" for k in axes]
+    joined = joined.selectExpr(*atoms.columns, *cells, *sizes, *[f"{L.fraction_sql(k)} AS u{k}" for k in axes])
+    joined = joined.selectExpr(*atoms.columns, *cells, *sizes, *[f"{L.wrap_sql(f'u{k}')} AS f{k}" for k in axes])
+    joined = joined.where(" AND ".join(f"f{k} < q{k}" for k in axes))
+    clean = " AND ".join(f"f{k} >= {R_MAX}D / h{k} AND f{k} < q{k} - {R_MAX}D / h{k}" for k in axes)
+    others = [c for c in atoms.columns if c not in ("x", "y", "z")]
+    joined = joined.selectExpr(*others, *[f"{L.cartesian_sql(k)} AS {c}" for k, c in enumerate("xyz")],
+                               f"{clean} AS is_center")
     accepted = (joined.groupBy("structure_id")
                       .agg(F.count_if("is_center").alias("_c"), F.count(F.lit(1)).alias("_kept"))
                       .where(F.col("_c") >= min_centers))
     cropped = joined.join(accepted, "structure_id", "left_semi").select(*atoms.columns, "is_center")
     rest = atoms.join(accepted, "structure_id", "left_anti").withColumn("is_center", F.lit(True))
-    shrunk = accepted.join(plan, "structure_id").select("structure_id", "_kept", F.array(*[
-        F.transform(F.col("cell")[k], lambda v, k=k: v * F.col(f"q{k}")) for k in range(3)]).alias("_cell"))
+    rows = ", ".join("array(" + ", ".join(f"a{k}{c} * q{k}" for c in axes) + ")" for k in axes)
+    shrunk = accepted.join(plan, "structure_id").selectExpr("structure_id", "_kept", f"array({rows}) AS _cell")
     cells = (structures.join(shrunk, "structure_id", "left")
                        .withColumn("cell", F.coalesce("_cell", "cell"))
                        .withColumn("pbc", F.col("pbc") & F.col("_cell").isNull())

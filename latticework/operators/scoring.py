@@ -1,14 +1,137 @@
-"""Class probabilities: normalisation, fusion of models, ranking and evaluation."""
+"""Class probabilities: normalisation, fusion of models, ranking and evaluation.
+
+Long form throughout: one row per (structure_id, type_id, class zn). A window per (structure, type) holds at
+most 94 rows, so none of these steps can concentrate data.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordered import top_k
+
+ITEM = ["structure_id", "type_id"]
+LOG_FLOOR = 1e-12
+
+
+def log_of(p: str = "p"):
+    return F.log(F.col(p) + F.lit(LOG_FLOOR))
+
 
 def softmax(df: DataFrame, logit: str, keys: list[str], out: str = "p") -> DataFrame:
     """Softmax over the classes of each key."""
     whole = W.partitionBy(*keys)
     weight = F.exp(F.col(logit) - F.max(logit).over(whole))
     return df.withColumn("_w", weight).withColumn(out, F.col("_w") / F.sum("_w").over(whole)).drop("_w")
+
+
+def log_softmax(df: DataFrame, logit: str, keys: list[str], out: str = "logp") -> DataFrame:
+    whole = W.partitionBy(*keys)
+    shifted = df.withColumn("_z", F.col(logit) - F.max(logit).over(whole))
+    return shifted.withColumn(out, F.col("_z") - F.log(F.sum(F.exp("_z")).over(whole))).drop("_z")
+
+
+def apply_temperature(probs: DataFrame, temperature: float) -> DataFrame:
+    """Probabilities after dividing log-probabilities by the temperature."""
+    return softmax(probs.withColumn("_t", log_of() / F.lit(float(temperature))), "_t", ITEM).drop("_t")
+
+
+def log_pool(probs: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean log-probability over frames and draws within `keys` (structure, type, model, class)."""
+    return probs.groupBy(*keys).agg(F.avg(log_of()).alias("logp"))
+
+
+def fuse(probs: DataFrame, mode: str = "conf") -> DataFrame:
+    """Combine models (structure_id, type_id, model, zn, logp) into one normalised logp per class."""
+    by_class = [*ITEM, "zn"]
+    if mode == "logmean":
+        mixed = probs.groupBy(*by_class).agg(F.avg("logp").alias("_l"))
+    elif mode == "probmean":
+        mixed = probs.groupBy(*by_class).agg(F.log(F.avg(F.exp("logp"))).alias("_l"))
+    elif mode == "conf":
+        # softmax over models of 4 * top probability; every class of a model shares its weight
+        sure = F.exp(4.0 * F.exp(F.max("logp").over(W.partitionBy(*ITEM, "model"))))
+        weighted = probs.withColumn("_w", sure)
+        mixed = weighted.groupBy(*by_class).agg(
+            F.log(F.sum(F.col("_w") * F.exp("logp")) / F.sum("_w") + LOG_FLOOR).alias("_l"))
+    elif mode == "median":
+        # lower middle for an even number of models
+        ordered = F.sort_array(F.collect_list("logp"))
+        mixed = probs.groupBy(*by_class).agg(ordered.alias("_s")).withColumn(
+            "_l", F.col("_s")[F.floor((F.size("_s") - 1) / 2).cast("int")]).drop("_s")
+    else:
+        raise ValueError(f"unknown fusion mode {mode!r}")
+    return log_softmax(mixed, "_l", ITEM).drop("_l")
+
+
+def debias(probs: DataFrame, weights: DataFrame, gamma: float) -> DataFrame:
+    """Undo class weighting: logp - gamma ln(max(w, 1e-6)). The weight table has one row per class."""
+    joined = probs.join(F.broadcast(weights.select("zn", "weight")), "zn", "left")
+    return joined.withColumn("logp", F.col("logp") - F.lit(gamma) * F.log(
+        F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6)))).drop("weight")
+
+
+def ranked(probs: DataFrame) -> DataFrame:
+    """Rank classes of each item by probability, the lower atomic number first on ties."""
+    order = W.partitionBy(*ITEM).orderBy(F.desc("p"), "zn")
+    return probs.withColumn("rank", F.row_number().over(order))
+
+
+def top_candidates(probs: DataFrame, k: int) -> DataFrame:
+    return top_k(probs, ITEM, [F.desc("p"), F.col("zn")], k, "rank")
+
+
+def join_truth(probs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rank of the true class (structure_id, type_id, true_zn); items without truth are not scored."""
+    known = truth.select(*ITEM, "true_zn")
+    return ranked(probs).join(known, ITEM).where(F.col("zn") == F.col("true_zn"))
+
+
+def hits_at_k(ranks: DataFrame, case: str, ks=(1, 3, 5)) -> DataFrame:
+    """Hits per case plus one row with a null case for the total."""
+    return ranks.rollup(case).agg(*[F.count_if(F.col("rank") <= k).alias(f"top{k}") for k in ks],
+                                  F.count(F.lit(1)).alias("n"))
+
+
+def rank_report(ranks: DataFrame, bucket: str) -> DataFrame:
+    """Top-k rates and median rank per bucket; ranks are counted first, so the median sees 94 values at most."""
+    counted = ranks.groupBy(bucket, "rank").agg(F.count(F.lit(1)).alias("c"))
+    rate = {k: F.sum(F.when(F.col("rank") <= k, F.col("c")).otherwise(0)) / F.sum("c") for k in (1, 3, 5)}
+    return counted.groupBy(bucket).agg(F.sum("c").alias("n"), *[v.alias(f"top{k}") for k, v in rate.items()],
+                                       F.percentile("rank", F.lit(0.5), F.col("c")).alias("median_rank"))
+
+
+def win_rate(pairs: DataFrame, swap: str) -> DataFrame:
+    """How often the true assignment scores lower than its swap, per swap and (null) overall."""
+    wins = F.count_if(F.col("f_true") < F.col("f_swap"))
+    return pairs.rollup(swap).agg(wins.alias("wins"), F.count(F.lit(1)).alias("n")).withColumn(
+        "rate", F.col("wins") / F.col("n"))
+
+
+def score_batch(rows: DataFrame, predict: Callable[[pd.DataFrame], list], model: str = "model") -> DataFrame:
+    """Run a model over padded structure rows and return long probabilities.
+
+    `predict` gets an Arrow batch as pandas and returns, per row, an (n_types x classes) table of
+    probabilities. It is shipped once per task; load weights lazily inside it.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tables = predict(batch)
+            out = [(sid, int(t), model, z + 1, float(p))
+                   for sid, ids, table in zip(batch["structure_id"], batch["type_ids"], tables)
+                   for t, probs in zip(ids, table) for z, p in enumerate(probs)]
+            yield pd.DataFrame(out, columns=["structure_id", "type_id", "model", "zn", "p"])
+
+    kind = rows.schema["structure_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"structure_id {kind}, type_id int, model string, zn int, p double")
+
+
+def mean_confidence(probs: DataFrame) -> DataFrame:
+    """Mean top probability over a structure's types, the tie-breaker of unit inference."""
+    top = probs.groupBy(*ITEM).agg(F.max("p").alias("_top"))
+    return top.groupBy("structure_id").agg(F.avg("_top").alias("confidence"))
