@@ -40,15 +40,8 @@ def hot_groups(df: DataFrame, keys: list[str], order: str | None = None,
     return None if hot.isEmpty() else hot
 
 
-def order_buckets(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame:
-    """Add `_bucket`, increasing with `order` inside each group; 0 for groups of at most `hot_rows`."""
-    hot = hot_groups(df, keys, order, hot_rows)
-    if hot is None:
-        return df.withColumn("_bucket", F.lit(0).cast("long"))
-    return _cut(df, hot, keys, order, hot_rows)
-
-
 def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: str, hot_rows: int | None) -> DataFrame:
+    """Add `_bucket`, increasing with `order` inside each group; 0 for groups that are not hot."""
     value = _number(df, order)
     n_buckets = F.ceil(F.col("_n") / F.lit(hot_rows or HOT_ROWS))
     spot = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_buckets)
@@ -93,7 +86,16 @@ def fill_forward(df: DataFrame, keys: list[str], bucket: str, order: str, source
 
 def runs(df: DataFrame, keys: list[str], value: str, order: str, hot_rows: int | None = None) -> DataFrame:
     """Runs of equal consecutive values: (keys, value, run_start, run_length)."""
-    cut = order_buckets(df.select(*keys, value, order), keys, order, hot_rows)
+    slim = df.select(*keys, value, order)
+    hot = hot_groups(slim, keys, order, hot_rows)
+    if hot is None:
+        whole = W.partitionBy(*keys).orderBy(order)
+        new = ~F.lag(value).over(whole).eqNullSafe(F.col(value)) | (F.row_number().over(whole) == 1)
+        return (slim.withColumn("_new", new.cast("long"))
+                    .withColumn("_run", F.sum("_new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
+                    .groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order).alias("run_start"),
+                                                F.count(F.lit(1)).alias("run_length")).drop("_run"))
+    cut = _cut(slim, hot, keys, order, hot_rows)
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
     starts = ~F.lag(value).over(inside).eqNullSafe(F.col(value)) | (F.row_number().over(inside) == 1)
     islands = (cut.withColumn("_starts", starts.cast("long"))
