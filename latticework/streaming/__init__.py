@@ -1,0 +1 @@
+"""Incremental corpus ingestion."""
