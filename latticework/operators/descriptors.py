@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,14 +55,25 @@ def type_grid(counts: DataFrame) -> DataFrame:
                           F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")))
 
 
-def coordination(hist: DataFrame, grid: DataFrame) -> DataFrame:
-    """Running coordination numbers cn0..cn3; the checkpoint's own bin is included."""
+def histogram_arrays(hist: DataFrame, grid: DataFrame) -> DataFrame:
+    """`grid` plus `c`, the 64 bin counts of each type pair, zero where nothing was found.
+
+    This is the only shuffle the histogram side needs: coordination, RDF and peak follow row by row.
+    """
+    packed = hist.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("_s"))
+    # zeros are laid between the occupied bins, so each of the at most 64 entries is visited once
+    filled = ("flatten(transform(_s, (e, i) -> concat(array_repeat(0D, e.bin - if(i = 0, -1, _s[i - 1].bin) - 1), "
+              "array(CAST(e.n AS DOUBLE)))))")
+    counts = (f"if(_s IS NULL, array_repeat(0D, {N_BINS}), "
+              f"concat({filled}, array_repeat(0D, {N_BINS - 1} - element_at(_s, -1).bin))) AS c")
+    return grid.join(packed, PAIR, "left").selectExpr(*grid.columns, counts)
+
+
+def coordination(arrays: DataFrame) -> DataFrame:
+    """Running coordination numbers cn0..cn3 of `histogram_arrays`; the checkpoint's own bin is included."""
     stops = [min(int(r / BIN_WIDTH), N_BINS - 1) for r in CN_RADII]
-    sums = hist.groupBy(*PAIR).agg(*[
-        F.sum(F.when(F.col("bin") <= stop, F.col("n")).otherwise(0)).alias(f"s{k}") for k, stop in enumerate(stops)])
-    return (grid.join(sums, PAIR, "left")
-                .select(*PAIR, *[(F.coalesce(f"s{k}", F.lit(0)) / F.greatest("n_a", F.lit(1))).alias(f"cn{k}")
-                                 for k in range(len(stops))]))
+    return arrays.selectExpr("*", *[
+        f"aggregate(slice(c, 1, {stop + 1}), 0D, (a, v) -> a + v) / greatest(n_a, 1) AS cn{k}" for k, stop in enumerate(stops)])
 
 
 def nn_stats(minima: DataFrame, grid: DataFrame) -> DataFrame:
@@ -79,43 +90,37 @@ def nn_stats(minima: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.select(*PAIR).join(stats.drop("n"), PAIR, "left").fillna(R_MAX, ["nn_med", "nn_p10"])
 
 
-def shell_volume(b: Column) -> Column:
-    outer, inner = (b + 1) * F.lit(BIN_WIDTH), b * F.lit(BIN_WIDTH)
-    return F.lit(4.0 / 3.0 * math.pi) * (F.pow(outer, 3) - F.pow(inner, 3))
+def smeared_rdf(arrays: DataFrame) -> DataFrame:
+    """Add `rdf`: the smeared, ideal-gas normalised g_ab(r) from counts `c`, `n_a` and `rho_b`."""
+    shells = ", ".join(f"{4.0 / 3.0 * math.pi * (((b + 1) * BIN_WIDTH) ** 3 - (b * BIN_WIDTH) ** 3)!r}D" for b in range(N_BINS))
+    taps = " + ".join(f"{w!r}D * p[b + {k}]" for k, w in enumerate(smear_kernel()))
+    # the outer transform names the padded counts p, so they are built once per row and not once per use
+    padded = f"concat(array_repeat(0D, {SMEAR_REACH}), c, array_repeat(0D, {SMEAR_REACH}))"
+    g = f"least(({taps}) / greatest(n_a * rho_b * v, 1e-12D), {RDF_CLIP}D)"
+    return arrays.selectExpr("*", f"transform(array({padded}), p -> transform(array({shells}), (v, b) -> {g}))[0] AS rdf")
+
+
+def rdf_peak(rdf: DataFrame) -> DataFrame:
+    """Add the first highest bin of each `rdf`: peak_pos scaled to the cutoff and ln(1+g)."""
+    return rdf.selectExpr("*", f"(array_position(rdf, array_max(rdf)) - 0.5D) * {BIN_WIDTH}D / {R_MAX}D AS peak_pos",
+                          "log1p(array_max(rdf)) AS peak_h")
 
 
 def partial_rdf(hist: DataFrame, density: DataFrame) -> DataFrame:
-    """Smeared, ideal-gas normalised g_ab(r) over bins with any mass.
+    """Long form (structure_id, type_a, type_b, bin, g) over bins with any mass.
 
-    `density` holds (structure_id, type_a, type_b, n_a, rho_b). Each histogram row is spread to nine bins
-    and re-summed, which keeps the whole step inside generated code.
+    `density` holds (structure_id, type_a, type_b, n_a, rho_b).
     """
-    taps = F.array(*[F.struct(F.lit(k - SMEAR_REACH).alias("o"), F.lit(w).alias("w"))
-                     for k, w in enumerate(smear_kernel())])
-    spread = (hist.withColumn("_t", F.explode(taps))
-                  .select(*PAIR, (F.col("bin") + F.col("_t.o")).cast("int").alias("bin"),
-                          (F.col("n") * F.col("_t.w")).alias("h"))
-                  .where(F.col("bin").between(0, N_BINS - 1))
-                  .groupBy(*PAIR, "bin").agg(F.sum("h").alias("h")))
-    ideal = F.greatest(F.col("n_a") * F.col("rho_b") * shell_volume(F.col("bin")), F.lit(1e-12))
-    return (spread.join(density, PAIR)
-                  .select(*PAIR, "bin", F.least(F.col("h") / ideal, F.lit(RDF_CLIP)).alias("g")))
-
-
-def rdf_peak(rdf: DataFrame, grid: DataFrame) -> DataFrame:
-    """First highest bin of each g_ab: peak_pos scaled to the cutoff and ln(1+g)."""
-    top = rdf.groupBy(*PAIR).agg(F.max(F.struct("g", (-F.col("bin")).alias("nb"))).alias("_m"))
-    return (grid.select(*PAIR).join(top, PAIR, "left")
-                .select(*PAIR, ((F.coalesce(-F.col("_m.nb"), F.lit(0)) + 0.5) * BIN_WIDTH / R_MAX).alias("peak_pos"),
-                        F.log1p(F.coalesce("_m.g", F.lit(0.0))).alias("peak_h")))
-
-
-def pair_features(cn: DataFrame, nn: DataFrame, peak: DataFrame) -> DataFrame:
-    """The eight scalar channels per type pair as `pair_extra`."""
-    joined = cn.join(nn, PAIR).join(peak, PAIR)
-    channels = [F.log1p(f"cn{k}") for k in range(len(CN_RADII))]
-    channels += [F.col("nn_med") / R_MAX, F.col("nn_p10") / R_MAX, F.col("peak_pos"), F.col("peak_h")]
-    return joined.select(*PAIR, F.array(*channels).alias("pair_extra"))
+    long = smeared_rdf(histogram_arrays(hist, density)).select(
+        *PAIR, F.posexplode_outer("rdf").alias("bin", "g"))  # outer: no size filter that would repeat the smearing
+    return long.where("g > 0")
+
+
+def pair_features(shape: DataFrame, nn: DataFrame) -> DataFrame:
+    """(pair key, rdf, pair_extra): the eight scalar channels of each type pair next to its RDF."""
+    extra = ", ".join([*[f"log1p(cn{k})" for k in range(len(CN_RADII))], f"nn_med / {R_MAX}D", f"nn_p10 / {R_MAX}D",
+                       "peak_pos", "peak_h"])
+    return shape.join(nn, PAIR).selectExpr(*PAIR, "rdf", f"array({extra}) AS pair_extra")
 
 
 def global_features(counts: DataFrame, structures: DataFrame) -> DataFrame:
@@ -133,14 +138,6 @@ def density_grid(grid: DataFrame, structures: DataFrame) -> DataFrame:
     return grid.join(volume, "structure_id").select(*PAIR, "n_a", (F.col("n_b") / F.col("volume")).alias("rho_b"))
 
 
-def dense_rdf(rdf: DataFrame, grid: DataFrame) -> DataFrame:
-    """One 64-bin array per type pair."""
-    packed = rdf.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("bin", "g"))).alias("_m"))
-    return (grid.select(*PAIR).join(packed, PAIR, "left")
-                .select(*PAIR, F.transform(F.sequence(F.lit(0), F.lit(N_BINS - 1)), lambda b: F.coalesce(
-                    F.try_element_at("_m", b), F.lit(0.0))).alias("rdf")))
-
-
 def compute_features(atoms: DataFrame, structures: DataFrame, with_env: bool = True,
                      max_atoms: int | None = None, seed: int = 12345) -> tuple[DataFrame, DataFrame]:
     """Full descriptor: (pairs: rdf, pair_extra) and (types: frac, glob[, env]).
@@ -148,8 +145,10 @@ def compute_features(atoms: DataFrame, structures: DataFrame, with_env: bool = T
     Cell-less structures get a vacuum box. With `max_atoms`, larger periodic structures are reduced to an
     interior crop: complete-neighbourhood centres only, densities and fractions from the full system.
     """
-    atoms, structures = vacuum_box(atoms, structures)
-    full = type_counts(atoms)
+    if not structures.where("cell IS NULL OR NOT pbc").isEmpty():
+        boxed, structures = vacuum_box(atoms, structures)
+        atoms, structures = staged(boxed, "boxed-atoms"), staged(structures, "boxed-cells")
+    full = staged(type_counts(atoms), "type-counts")
     types = global_features(full, structures)
     if max_atoms is None:
         points, cells, centers = atoms, structures, None
@@ -163,9 +162,8 @@ def compute_features(atoms: DataFrame, structures: DataFrame, with_env: bool = T
         density = (density_grid(type_grid(full), structures).select(*PAIR, "rho_b")
                    .join(grid.select(*PAIR, "n_a"), PAIR))
     hist, minima = histogram_and_minima(neighbor_pairs(points, cells, R_MAX, centers))
-    rdf = partial_rdf(hist, density)
-    extra = pair_features(coordination(hist, grid), nn_stats(minima, grid), rdf_peak(rdf, grid))
-    pairs = dense_rdf(rdf, grid).join(extra, PAIR)
+    shape = rdf_peak(smeared_rdf(coordination(histogram_arrays(hist, density))))
+    pairs = pair_features(shape, nn_stats(minima, grid))
     if with_env:
         picked = sample_centers(points if centers is None else centers, M_ENV, seed)
         env = environment_sets(points, cells, picked, K_ENV)

@@ -25,10 +25,8 @@ def grid(spark, sf_dir):
     return D.type_grid(G.type_counts(typed(spark, sf_dir)[0]))
 
 
-def rdf(spark, sf_dir):
-    atoms, structures = typed(spark, sf_dir)
-    pair_grid = D.type_grid(G.type_counts(atoms))
-    return D.partial_rdf(D.pair_histogram(N.neighbor_pairs(atoms, structures)), D.density_grid(pair_grid, structures))
+def density(spark, sf_dir):
+    return D.density_grid(grid(spark, sf_dir), typed(spark, sf_dir)[1])
 
 
 @query("relabel_types", "atoms", "SELECT structure_id, atom_id, label, type_id FROM atoms")
@@ -66,7 +64,7 @@ def pair_histogram(spark, sf_dir):
     FROM tgrid g LEFT JOIN hist h ON h.structure_id = g.structure_id AND h.type_a = g.type_a AND h.type_b = g.type_b
     GROUP BY g.structure_id, g.type_a, g.type_b""")
 def coordination(spark, sf_dir):
-    cn = D.coordination(D.pair_histogram(pairs(spark, sf_dir)), grid(spark, sf_dir))
+    cn = D.coordination(D.histogram_arrays(D.pair_histogram(pairs(spark, sf_dir)), grid(spark, sf_dir)))
     return cn.select(*PAIR, *[F.round(f"cn{k}", 6).alias(f"cn{k}") for k in range(4)])
 
 
@@ -85,7 +83,8 @@ def nn_stats(spark, sf_dir):
 
 @query("partial_rdf", "rdf", "SELECT structure_id, type_a, type_b, bin, round(g, 6) AS g FROM rdf")
 def partial_rdf(spark, sf_dir):
-    return rdf(spark, sf_dir).withColumn("g", F.round("g", 6))
+    found = D.partial_rdf(D.pair_histogram(pairs(spark, sf_dir)), density(spark, sf_dir))
+    return found.withColumn("g", F.round("g", 6))
 
 
 add_view("peaks", "rdf tgrid", """
@@ -99,7 +98,8 @@ add_view("peaks", "rdf tgrid", """
 @query("rdf_peak", "peaks", """
     SELECT structure_id, type_a, type_b, round(peak_pos, 6) AS peak_pos, round(peak_h, 6) AS peak_h FROM peaks""")
 def rdf_peak(spark, sf_dir):
-    peak = D.rdf_peak(rdf(spark, sf_dir), grid(spark, sf_dir))
+    arrays = D.histogram_arrays(D.pair_histogram(pairs(spark, sf_dir)), density(spark, sf_dir))
+    peak = D.rdf_peak(D.smeared_rdf(arrays))
     return peak.select(*PAIR, F.round("peak_pos", 6).alias("peak_pos"), F.round("peak_h", 6).alias("peak_h"))
 
 
@@ -266,11 +266,11 @@ add_view("pair_extra", "tgrid hist atoms counts minima peaks", """
 
 
 @query("pair_features", "pair_extra", """
-    SELECT structure_id, type_a, type_b, round(e0, 5) AS e0, round(e1, 5) AS e1, round(e2, 5) AS e2, round(e3, 5) AS e3,
-           round(e4, 5) AS e4, round(e5, 5) AS e5, round(e6, 5) AS e6, round(e7, 5) AS e7 FROM pair_extra""")
+    SELECT structure_id, type_a, type_b, round(e0, 7) AS e0, round(e1, 7) AS e1, round(e2, 7) AS e2, round(e3, 7) AS e3,
+           round(e4, 7) AS e4, round(e5, 7) AS e5, round(e6, 7) AS e6, round(e7, 7) AS e7 FROM pair_extra""")
 def pair_features(spark, sf_dir):
     pair_rows, _ = D.compute_features(*typed(spark, sf_dir), with_env=False)
-    return pair_rows.select(*PAIR, *[F.round(F.col("pair_extra")[k], 5).alias(f"e{k}") for k in range(8)])
+    return pair_rows.select(*PAIR, *[F.round(F.col("pair_extra")[k], 7).alias(f"e{k}") for k in range(8)])
 
 
 @query("global_features", "counts dims", """
@@ -289,7 +289,7 @@ def global_features(spark, sf_dir):
     g AS (SELECT structure_id // 10 AS system_id, type_a, type_b, sum(g) AS g FROM rdf GROUP BY 1, 2, 3),
     e AS (SELECT structure_id // 10 AS system_id, type_a, type_b, sum(e3) AS e3, sum(e4) AS e4 FROM pair_extra GROUP BY 1, 2, 3)
     SELECT e.system_id, e.type_a, e.type_b, round(coalesce(g.g, 0) / s.n_frames, 4) AS sum_g,
-           round(e.e3 / s.n_frames, 6) AS cn6, round(e.e4 / s.n_frames, 6) AS nn_med
+           round(e.e3 / s.n_frames, 6) AS cn6, round(e.e4 / s.n_frames, 8) AS nn_med
     FROM e JOIN shared s ON s.system_id = e.system_id
          LEFT JOIN g ON g.system_id = e.system_id AND g.type_a = e.type_a AND g.type_b = e.type_b""")
 def average_frames(spark, sf_dir):
@@ -297,7 +297,7 @@ def average_frames(spark, sf_dir):
     system = {"system_id": F.floor(F.col("structure_id") / 10).cast("long"), "frame_id": F.col("structure_id") % 10}
     fused, _ = D.average_frames(staged(pair_rows, "pairs").withColumns(system), staged(type_rows, "types").withColumns(system))
     return fused.select("system_id", "type_a", "type_b", F.round(F.aggregate("rdf", F.lit(0.0), lambda a, v: a + v), 4).alias("sum_g"),
-                        F.round(F.col("pair_extra")[3], 6).alias("cn6"), F.round(F.col("pair_extra")[4], 6).alias("nn_med"))
+                        F.round(F.col("pair_extra")[3], 6).alias("cn6"), F.round(F.col("pair_extra")[4], 8).alias("nn_med"))
 
 
 # larger structures, one per supplier in a cell of 60 A or more, for the crop

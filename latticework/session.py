@@ -16,6 +16,11 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join is worth an extra shuffle: one structure may hold a third of all atoms
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # broadcast by measured size only: estimates before a join or explode can be far too low
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16m",
+    # few bytes can mean much work here (one atom meets hundreds of partners), so do not merge small tasks away
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
