@@ -55,25 +55,13 @@ def type_grid(counts: DataFrame) -> DataFrame:
                           F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")))
 
 
-def histogram_arrays(hist: DataFrame, grid: DataFrame) -> DataFrame:
-    """`grid` plus `c`, the 64 bin counts of each type pair, zero where nothing was found.
-
-    This is the only shuffle the histogram side needs: coordination, RDF and peak follow row by row.
-    """
-    packed = hist.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("_s"))
-    # zeros are laid between the occupied bins, so each of the at most 64 entries is visited once
-    filled = ("flatten(transform(_s, (e, i) -> concat(array_repeat(0D, e.bin - if(i = 0, -1, _s[i - 1].bin) - 1), "
-              "array(CAST(e.n AS DOUBLE)))))")
-    counts = (f"if(_s IS NULL, array_repeat(0D, {N_BINS}), "
-              f"concat({filled}, array_repeat(0D, {N_BINS - 1} - element_at(_s, -1).bin))) AS c")
-    return grid.join(packed, PAIR, "left").selectExpr(*grid.columns, counts)
-
-
-def coordination(arrays: DataFrame) -> DataFrame:
-    """Running coordination numbers cn0..cn3 of `histogram_arrays`; the checkpoint's own bin is included."""
+def coordination(hist: DataFrame, grid: DataFrame) -> DataFrame:
+    """`grid` plus running coordination numbers cn0..cn3; the checkpoint's own bin is included."""
     stops = [min(int(r / BIN_WIDTH), N_BINS - 1) for r in CN_RADII]
-    return arrays.selectExpr("*", *[
-        f"aggregate(slice(c, 1, {stop + 1}), 0D, (a, v) -> a + v) / greatest(n_a, 1) AS cn{k}" for k, stop in enumerate(stops)])
+    sums = hist.groupBy(*PAIR).agg(*[
+        F.sum(F.when(F.col("bin") <= stop, F.col("n")).otherwise(0)).alias(f"s{k}") for k, stop in enumerate(stops)])
+    return grid.join(sums, PAIR, "left").selectExpr(
+        *grid.columns, *[f"coalesce(s{k}, 0) / greatest(n_a, 1) AS cn{k}" for k in range(len(stops))])
 
 
 def nn_stats(minima: DataFrame, grid: DataFrame) -> DataFrame:
@@ -90,30 +78,35 @@ def nn_stats(minima: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.select(*PAIR).join(stats.drop("n"), PAIR, "left").fillna(R_MAX, ["nn_med", "nn_p10"])
 
 
-def smeared_rdf(arrays: DataFrame) -> DataFrame:
-    """Add `rdf`: the smeared, ideal-gas normalised g_ab(r) from counts `c`, `n_a` and `rho_b`."""
-    shells = ", ".join(f"{4.0 / 3.0 * math.pi * (((b + 1) * BIN_WIDTH) ** 3 - (b * BIN_WIDTH) ** 3)!r}D" for b in range(N_BINS))
-    taps = " + ".join(f"{w!r}D * p[b + {k}]" for k, w in enumerate(smear_kernel()))
-    # the outer transform names the padded counts p, so they are built once per row and not once per use
-    padded = f"concat(array_repeat(0D, {SMEAR_REACH}), c, array_repeat(0D, {SMEAR_REACH}))"
-    g = f"least(({taps}) / greatest(n_a * rho_b * v, 1e-12D), {RDF_CLIP}D)"
-    return arrays.selectExpr("*", f"transform(array({padded}), p -> transform(array({shells}), (v, b) -> {g}))[0] AS rdf")
-
-
-def rdf_peak(rdf: DataFrame) -> DataFrame:
-    """Add the first highest bin of each `rdf`: peak_pos scaled to the cutoff and ln(1+g)."""
-    return rdf.selectExpr("*", f"(array_position(rdf, array_max(rdf)) - 0.5D) * {BIN_WIDTH}D / {R_MAX}D AS peak_pos",
-                          "log1p(array_max(rdf)) AS peak_h")
-
-
 def partial_rdf(hist: DataFrame, density: DataFrame) -> DataFrame:
-    """Long form (structure_id, type_a, type_b, bin, g) over bins with any mass.
+    """Smeared, ideal-gas normalised g_ab(r): (structure_id, type_a, type_b, bin, g) over bins with any mass.
 
-    `density` holds (structure_id, type_a, type_b, n_a, rho_b).
+    `density` holds (structure_id, type_a, type_b, n_a, rho_b). Both sides meet once, partitioned by type
+    pair; spreading each count over nine bins and re-summing then needs no further shuffle and stays in
+    generated code. A pair has at most 64 histogram rows, so the key cannot be skewed.
     """
-    long = smeared_rdf(histogram_arrays(hist, density)).select(
-        *PAIR, F.posexplode_outer("rdf").alias("bin", "g"))  # outer: no size filter that would repeat the smearing
-    return long.where("g > 0")
+    taps = ", ".join(f"struct({k - SMEAR_REACH} AS o, {w!r}D AS w)" for k, w in enumerate(smear_kernel()))
+    spread = (hist.select(*PAIR, "bin", "n").join(density.select(*PAIR, "n_a", "rho_b"), PAIR)
+                  .selectExpr(*PAIR, "bin", "n", "n_a", "rho_b", f"explode(array({taps})) AS t")
+                  .selectExpr(*PAIR, "bin + t.o AS bin", "n * t.w AS h", "n_a * rho_b AS scale")
+                  .where(f"bin BETWEEN 0 AND {N_BINS - 1}")
+                  .groupBy(*PAIR, "bin").agg(F.sum("h").alias("h"), F.max("scale").alias("scale")))
+    shell = f"{4.0 / 3.0 * math.pi!r}D * (power((bin + 1) * {BIN_WIDTH}D, 3) - power(bin * {BIN_WIDTH}D, 3))"
+    return spread.selectExpr(*PAIR, "bin", f"least(h / greatest(scale * ({shell}), 1e-12D), {RDF_CLIP}D) AS g")
+
+
+def rdf_summary(rdf: DataFrame, grid: DataFrame, dense: bool = True) -> DataFrame:
+    """`grid` plus the first highest bin (peak_pos scaled to the cutoff, peak_h = ln(1+g)) and, if wanted,
+    the 64-bin array `rdf`, from a single aggregation of the long form."""
+    lists = [F.sort_array(F.collect_list(F.struct("bin", "g"))).alias("_s")] if dense else []
+    packed = rdf.groupBy(*PAIR).agg(F.max(F.struct("g", (-F.col("bin")).alias("nb"))).alias("_m"), *lists)
+    # zeros are laid between the occupied bins, so each of the at most 64 entries is visited once
+    filled = "flatten(transform(_s, (e, i) -> concat(array_repeat(0D, e.bin - if(i = 0, -1, _s[i - 1].bin) - 1), array(e.g))))"
+    full = (f"if(_s IS NULL, array_repeat(0D, {N_BINS}), "
+            f"concat({filled}, array_repeat(0D, {N_BINS - 1} - element_at(_s, -1).bin))) AS rdf")
+    return grid.join(packed, PAIR, "left").selectExpr(
+        *grid.columns, f"(coalesce(-_m.nb, 0) + 0.5D) * {BIN_WIDTH}D / {R_MAX}D AS peak_pos",
+        "log1p(coalesce(_m.g, 0D)) AS peak_h", *([full] if dense else []))
 
 
 def pair_features(shape: DataFrame, nn: DataFrame) -> DataFrame:
@@ -162,7 +155,7 @@ def compute_features(atoms: DataFrame, structures: DataFrame, with_env: bool = T
         density = (density_grid(type_grid(full), structures).select(*PAIR, "rho_b")
                    .join(grid.select(*PAIR, "n_a"), PAIR))
     hist, minima = histogram_and_minima(neighbor_pairs(points, cells, R_MAX, centers))
-    shape = rdf_peak(smeared_rdf(coordination(histogram_arrays(hist, density))))
+    shape = rdf_summary(partial_rdf(hist, density), coordination(hist, density))
     pairs = pair_features(shape, nn_stats(minima, grid))
     if with_env:
         picked = sample_centers(points if centers is None else centers, M_ENV, seed)

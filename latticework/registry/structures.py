@@ -64,7 +64,7 @@ def pair_histogram(spark, sf_dir):
     FROM tgrid g LEFT JOIN hist h ON h.structure_id = g.structure_id AND h.type_a = g.type_a AND h.type_b = g.type_b
     GROUP BY g.structure_id, g.type_a, g.type_b""")
 def coordination(spark, sf_dir):
-    cn = D.coordination(D.histogram_arrays(D.pair_histogram(pairs(spark, sf_dir)), grid(spark, sf_dir)))
+    cn = D.coordination(D.pair_histogram(pairs(spark, sf_dir)), grid(spark, sf_dir))
     return cn.select(*PAIR, *[F.round(f"cn{k}", 6).alias(f"cn{k}") for k in range(4)])
 
 
@@ -98,8 +98,8 @@ add_view("peaks", "rdf tgrid", """
 @query("rdf_peak", "peaks", """
     SELECT structure_id, type_a, type_b, round(peak_pos, 6) AS peak_pos, round(peak_h, 6) AS peak_h FROM peaks""")
 def rdf_peak(spark, sf_dir):
-    arrays = D.histogram_arrays(D.pair_histogram(pairs(spark, sf_dir)), density(spark, sf_dir))
-    peak = D.rdf_peak(D.smeared_rdf(arrays))
+    found = D.partial_rdf(D.pair_histogram(pairs(spark, sf_dir)), density(spark, sf_dir))
+    peak = D.rdf_summary(found, grid(spark, sf_dir), dense=False)
     return peak.select(*PAIR, F.round("peak_pos", 6).alias("peak_pos"), F.round("peak_h", 6).alias("peak_h"))
 
 
