@@ -16,7 +16,9 @@ def ingest_new_files(spark: SparkSession, folder: str, checkpoint: str, handle:
     The stream only lists files: the batch handler gets their paths and reads them with the ordinary
     batch readers, so parsing stays splittable. The checkpoint remembers what was handled.
     """
-    listing = (spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files)
+    listing = (spark.readStream.format("binaryFile")
+                    .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
+                    .option("maxFilesPerTrigger", max_files)
                     .option("recursiveFileLookup", "true").load(folder).select(F.col("path")))
     return (listing.writeStream.option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).foreachBatch(handle).start())
