@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
+from .chat import format_chats, read_back, text_parts
 from .decontaminate import decontaminate
+from .jaccard import jaccard_components
+from .licenses import scan as scan_licences
 from .mixing import mix
+from .pii import KINDS as PERSONAL_KINDS
+from .pii import find_personal_data
+from .ppm import lm_scores
 from .quality import assess
+from .secrets import BASE as SECRET_KINDS
+from .secrets import find_secrets, span_text
 from .sharding import shard
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,12 +57,82 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return assess(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
+@_query
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    listed = F.transform("licences", lambda p: F.concat_ws(":", p["paragraph"], p["family"]))
+    return found.select("doc_id", "n_paragraphs", "n_candidates", F.size("licences").cast("long").alias("n_licences"),
+                        F.concat_ws(",", listed).alias("licences"), "licence")
+
+
+def _count(kind: str, spans: str = "spans"):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _base(kinds: tuple[str, ...]):
+    """Digest of the spans of the base rules."""
+    return F.sha2(span_text(F.filter("base", lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256")
+
+
+@_query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.withColumn("base", F.col("spans")).select(
+        "doc_id", *[_count(k) for k in SECRET_KINDS], _base(SECRET_KINDS), span_text(F.col("spans")).alias("spans"))
+
+
+@_query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.withColumn("base", F.filter("spans", lambda s: s["rule"])).select(
+        "doc_id", *[_count(k, "base") for k in PERSONAL_KINDS], _base(PERSONAL_KINDS), span_text(F.col("spans")).alias("spans"))
+
+
+@_query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"),
+                                 F.lit("</s>[INST] ok [/INST]"))
+    messages = turns.union(more).select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))
+    read = read_back(format_chats(messages))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_ESCAPED = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
+LLM_ORACLES["op9_chat_formatting"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 23) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
