@@ -23,7 +23,7 @@ def shingle_set(text: str | None, width: int) -> set[tuple[str, ...]]:
     return {tuple(w[i: i + width]) for i in range(len(w) - width + 1)} or {tuple(w)}
 
 
-def jaccard_components(rows: list[tuple], width: int = 4) -> list[tuple]:
+def jaccard_components(rows: list[tuple], width: int = 4, similar: tuple[int, int] = (85, 100)) -> list[tuple]:
     """(doc_id, n_shingles, component_id) of (doc_id, text) rows, every pair compared."""
     sets = [shingle_set(t, width) for _, t in rows]
     label = list(range(len(rows)))
@@ -36,7 +36,7 @@ def jaccard_components(rows: list[tuple], width: int = 4) -> list[tuple]:
         near.update((a, b) for x, a in enumerate(held) for b in held[x + 1:])
     for a, b in near:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+        if similar[1] * both >= similar[0] * len(sets[a] | sets[b]) and label[a] != label[b]:
             label = [label[a] if v == label[b] else v for v in label]
     low: dict[int, int | None] = {}
     for i, (doc, _) in enumerate(rows):
