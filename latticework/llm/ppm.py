@@ -1,10 +1,11 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-Training documents give counts of byte 4-grams, which hold the trie of contexts of 3, 2, 1 and 0 bytes. A symbol seen
-after the longest context takes count / (total + distinct); anything else escapes with distinct / (total + distinct)
-(method C) to the next shorter context, where symbols the longer one had seen are excluded from totals. Below order
-0 the remaining bytes are equally likely. The model is pretrained, so what follows a context is a fixed distribution:
-one row of 256 log-probabilities for each context kept, and a text's score is a sum of table entries.
+Training documents give counts of byte 6-grams, which hold the trie of contexts of 5, 3, 2, 1 and 0 bytes. A symbol
+seen after the longest context takes count / (total + distinct); anything else escapes with distinct / (total +
+distinct) (method C) to the next shorter context, where symbols the longer one had seen are excluded from totals. Below
+order 0 the remaining bytes are equally likely. The model is pretrained, so what follows a context is a fixed
+distribution: contexts of up to three bytes are rows of 256 log-probabilities; a context of five bytes lists what it
+has seen and what an escape adds to its suffix's row. A text's score is a sum of table entries.
 
 The word baseline is exact: counts of words come from all training documents, frequent words are resolved from a
 table of fixed size, all others by a join.
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .words import Words, slices, text_bytes, _LOWER
 
-# Contexts of three bytes with a row of their own, the most frequent ones; rarer ones use their last two bytes. The
-# model is at most (CONTEXTS + 65,536 + 257) rows of 256 floats. Words in the broadcast table of frequent words.
-CONTEXTS, FREQUENT = 1 << 16, 1 << 20
+# Size of the model, as every such trie has a bound: contexts of three bytes with a row of their own and symbols listed
+# after contexts of five bytes, the most frequent contexts first; rarer ones use the next shorter context. At most
+# (CONTEXTS + 65,536 + 257) rows of 256 floats and LISTED entries. Words in the broadcast table of frequent words.
+CONTEXTS, LISTED, FREQUENT = 1 << 15, 1 << 21, 1 << 20
+ORDER = 5
 _HELD = 2_000_000  # distinct keys a task keeps before it adds them up
 
 
@@ -35,18 +38,18 @@ def held_out(ident: str) -> Column:
 
 
 def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram of each symbol, first symbol of each text): lower-cased bytes and an end symbol 0, padded with 0."""
+    """(6-gram of each symbol, first symbol of each text): lower-cased bytes and an end symbol 0, padded with 0."""
     raw, offs = text_bytes(texts)
-    n = len(offs) - 1
+    n, pad = len(offs) - 1, ORDER + 1
     doc = np.repeat(np.arange(n), np.diff(offs))
-    body = np.zeros(len(raw) + 4 * n, np.uint32)  # 3 zeros, the bytes, the end
-    body[np.arange(len(raw)) + 4 * doc + 3] = np.maximum(_LOWER[raw], 1)
+    body = np.zeros(len(raw) + pad * n, np.uint64)  # ORDER zeros, the bytes, the end
+    body[np.arange(len(raw)) + pad * doc + ORDER] = np.maximum(_LOWER[raw], 1)
     keep = np.ones(len(body), bool)
-    for k in range(3):
-        keep[offs[:-1] + 4 * np.arange(n) + k] = False
+    for k in range(ORDER):
+        keep[offs[:-1] + pad * np.arange(n) + k] = False
     gram = body.copy()
-    for k in (1, 2, 3):
-        gram[k:] |= body[:-k] << np.uint32(8 * k)
+    for k in range(1, ORDER + 1):
+        gram[k:] |= body[:-k] << np.uint64(8 * k)
     return gram[keep], offs + np.arange(n + 1)
 
 
@@ -82,7 +85,7 @@ class _Sums:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 word hash, 1 byte 4-gram, 2 number of texts."""
+    """(kind, key, n): 0 word hash, 1 byte 6-gram, 2 number of texts."""
     word, gram, texts = _Sums(), _Sums(), 0
     for batch in batches:
         texts += batch.num_rows
@@ -100,30 +103,32 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      ["kind", "key", "n"])
 
 
-def _threshold(sized: DataFrame, most: int) -> float:
-    """Smallest log2 step of `n` such that at most `most` rows reach it."""
+def _threshold(sized: DataFrame, most: int, weight: Column | None = None) -> float:
+    """Smallest log2 step of `n` such that the rows (or weights) that reach it come to `most` at most."""
     step = F.floor(F.log2("n") * 16)
     seen = 0
-    for r in sized.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # under 1,024 rows
-        if seen + r["count"] > most:
+    per_step = sized.groupBy(step.alias("s")).agg(F.sum(F.lit(1) if weight is None else weight).alias("w"))
+    for r in per_step.orderBy(F.desc("s")).collect():  # under 1,024 rows
+        if seen + r.w > most:
             return 2.0 ** ((r.s + 1) / 16)
-        seen += r["count"]
+        seen += r.w
     return 0.0
 
 
 class PpmModel:
-    """Log10-probabilities of all symbols after every kept context, and the row of each 3-byte context."""
+    """Log10-probabilities after contexts of up to three bytes as rows, and the listed continuations of longer ones."""
 
-    def __init__(self, gram4: np.ndarray, n4: np.ndarray, gram3: np.ndarray, n3: np.ndarray):
-        """Sorted 4-grams of the kept contexts and all sorted 3-grams, with counts."""
+    def __init__(self, gram4: np.ndarray, n4: np.ndarray, gram3: np.ndarray, n3: np.ndarray,
+                 gram6: np.ndarray | None = None, n6: np.ndarray | None = None):
+        """Sorted grams with counts: all 3-grams, the 4-grams of kept contexts, the 6-grams of kept long contexts."""
         self.keys: list[np.ndarray] = []  # contexts of order 0, 1, 2, 3
-        rows, rest, counts = [], [], []
+        rows, counts, rest = [], [], None
         for order in range(4):
             if order == 3:
                 gram, n = gram4, n4
             else:
-                key, back = np.unique(gram3 & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
-                gram, n = key, np.bincount(back, weights=n3, minlength=len(key))
+                gram, back = np.unique(gram3 & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+                n = np.bincount(back, weights=n3, minlength=len(gram))
             ctx, at = np.unique(gram >> np.uint32(8), return_inverse=True)
             if order == 0 and not len(ctx):
                 ctx = np.zeros(1, np.uint32)
@@ -138,17 +143,36 @@ class PpmModel:
                 lower = counts[-1][parent]
                 free = np.where(seen > 0, np.float32(0), lower)
                 t, d = free.sum(axis=1, dtype=np.float64)[:, None], (free > 0).sum(axis=1)[:, None]
-                size = np.maximum(t + d, 1)
-                below = np.where(lower > 0, free / size, np.where(t + d > 0, d / size, 1.0) * rest[-1][parent])
-            size = np.maximum(total + kinds, 1)
-            row = np.where(seen > 0, seen / size, np.where(total > 0, kinds / size, 1.0) * below)
+                size = np.maximum(t + d, 1).astype(np.float32)
+                below = np.where(lower > 0, free / size, np.where(t + d > 0, d / size, 1.0).astype(np.float32) * rest[parent])
+            size = np.maximum(total + kinds, 1).astype(np.float32)
+            row = np.where(seen > 0, seen / size, np.where(total > 0, kinds / size, 1.0).astype(np.float32) * below)
             self.keys.append(ctx.astype(np.uint32))
-            rows.append(np.log10(np.maximum(row, 1e-300)).astype(np.float32))
-            rest.append(below.astype(np.float32))
+            rows.append(np.log10(np.maximum(row, 1e-38)).astype(np.float32))
+            rest = below.astype(np.float32)
             counts.append(seen)
         self.first = np.cumsum([0, *[len(k) for k in self.keys[:-1]]])
         self.table = np.concatenate(rows)
         self._row: np.ndarray | None = None
+        self._add_long(np.zeros(0, np.uint64) if gram6 is None else gram6, np.zeros(0) if n6 is None else n6, counts)
+
+    def _add_long(self, gram: np.ndarray, n: np.ndarray, counts: list[np.ndarray]) -> None:
+        """List the continuations of five-byte contexts and what their escapes add to their suffix's row."""
+        seen = np.concatenate(counts)
+        self.seen = np.packbits(seen > 0, axis=1)
+        self.long, at = np.unique(gram >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(at, weights=n, minlength=len(self.long)), np.bincount(at, minlength=len(self.long))
+        row = self.row()[(self.long & np.uint64(0xFFFFFF)).astype(np.int64)]
+        self._row = None
+        all_t, all_d = seen.sum(axis=1, dtype=np.float64)[row], (seen > 0).sum(axis=1)[row]
+        barred = np.bincount(at, weights=seen[row[at], (gram & np.uint64(255)).astype(np.int64)], minlength=len(self.long))
+        t, d = all_t - barred, all_d - kinds
+        escape = kinds / np.maximum(total + kinds, 1)
+        with np.errstate(divide="ignore"):
+            self.known = np.log10(escape * (all_t + all_d) / np.maximum(t + d, 1)).astype(np.float32)  # seen by the suffix
+            fresh = escape * (all_t + all_d) / np.maximum(all_d, 1) * np.where(t + d > 0, d / np.maximum(t + d, 1), 1.0)
+            self.fresh = np.log10(np.maximum(fresh, 1e-38)).astype(np.float32)
+        self.grams, self.logs = gram, np.log10(n / (total + kinds)[at]).astype(np.float32) if len(gram) else np.zeros(0, np.float32)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_row": None}
@@ -156,19 +180,33 @@ class PpmModel:
     def row(self) -> np.ndarray:
         """Row of the longest kept context of every 3-byte context."""
         if self._row is None:
-            out = np.zeros(1 << 24, np.int32)
-            two = np.zeros(1 << 16, np.int32)
             one = np.zeros(256, np.int32)
             one[self.keys[1]] = self.first[1] + np.arange(len(self.keys[1]))
-            two[:] = np.tile(one, 256)
+            two = np.tile(one, 256)
             two[self.keys[2]] = self.first[2] + np.arange(len(self.keys[2]))
-            out[:] = np.tile(two, 256)
-            out[self.keys[3]] = self.first[3] + np.arange(len(self.keys[3]))
-            self._row = out
+            self._row = np.tile(two, 256)
+            self._row[self.keys[3]] = self.first[3] + np.arange(len(self.keys[3]))
         return self._row
 
     def score(self, grams: np.ndarray) -> np.ndarray:
-        return self.table[self.row()[grams >> np.uint32(8)], (grams & np.uint32(255)).astype(np.int64)]
+        """Log10-probability of the last byte of each 6-gram after the others."""
+        symbol = (grams & np.uint64(255)).astype(np.int64)
+        out, todo = np.empty(len(grams), np.float32), np.arange(len(grams))
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            found = self.grams[at] == grams
+            out[found] = self.logs[at[found]]
+            todo = np.flatnonzero(~found)
+        row = self.row()[((grams[todo] >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.int64)]
+        value, s = self.table[row, symbol[todo]], symbol[todo]
+        if len(self.long):
+            context = grams[todo] >> np.uint64(8)
+            at = np.minimum(np.searchsorted(self.long, context), len(self.long) - 1)
+            own = self.long[at] == context
+            known = (self.seen[row, s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+            value = value + np.where(own, np.where(known, self.known[at], self.fresh[at]), np.float32(0))
+        out[todo] = value
+        return out
 
 
 _SCORED = ("uid long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
@@ -229,13 +267,24 @@ def lm_scores(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     order = np.argsort(key.view(np.uint64))
     frequent, logs = key[order].view(np.uint64), np.log10((n[order] + 0.5) / divisor)
 
-    grams = counts.where(F.col("kind") == 1).select("key", "n", F.shiftright("key", 8).alias("ctx"))
-    contexts = grams.groupBy("ctx").agg(F.sum("n").alias("n"))  # at most 2^24 rows
-    own = contexts.where(F.col("n") >= _threshold(contexts, CONTEXTS)).select("ctx")  # at most CONTEXTS rows
-    key4, n4 = _arrays(grams.join(F.broadcast(own), "ctx").orderBy("key"), "key", "n")
-    short = F.col("key").bitwiseAND(F.lit(0xFFFFFF))
-    key3, n3 = _arrays(grams.groupBy(short.alias("key")).agg(F.sum("n").alias("n")).orderBy("key"), "key", "n")
-    model = PpmModel(key4.astype(np.uint32), n4, key3.astype(np.uint32), n3)
+    grams = counts.where(F.col("kind") == 1).select("key", "n")
+
+    def shortened(size: int) -> DataFrame:
+        """Counts of the last `size` bytes."""
+        return grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+
+    def of_frequent(listed: DataFrame, most: int, weight: Column | None) -> list[np.ndarray]:
+        """Sorted grams, with counts, whose contexts are frequent enough to fit `most` contexts (or weights)."""
+        ctx = F.shiftright("key", 8)
+        sized = listed.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+        own = sized.where(F.col("n") >= _threshold(sized, most, weight)).select("ctx")  # `most` rows at most
+        return _arrays(listed.join(F.broadcast(own), F.shiftright("key", 8) == F.col("ctx")).orderBy("key"), "key", "n")
+
+    four = staged(shortened(4), "lm-short")
+    key4, n4 = of_frequent(four, CONTEXTS, None)
+    key3, n3 = _arrays(shortened(3).orderBy("key"), "key", "n")  # at most 2^24 rows
+    key6, n6 = of_frequent(grams, LISTED, F.col("d"))
+    model = PpmModel(key4.astype(np.uint32), n4, key3.astype(np.uint32), n3, key6.astype(np.uint64), n6)
     end = float(np.log10((texts + 0.5) / divisor))
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], held_out(ident).alias("held_out")).alias("row"),

@@ -32,7 +32,7 @@ def test_stages_do_their_work(spark, tmp_path):
     for r in seen["quality_rules"][1].collect():
         assert len(brute.words(r.text)) >= 10
     rows = [(r.doc_id, r.text) for r in seen["ngram_jaccard_join"][0].select("doc_id", "text").collect()]
-    assert sorted(ids("ngram_jaccard_join", 1)) == sorted({c for _, _, c in brute.jaccard_components(rows, 5, (80, 100))})
+    assert sorted(ids("ngram_jaccard_join", 1)) == sorted({c for _, _, c in brute.jaccard_components(rows, corpus_pipeline.WIDTH, corpus_pipeline.SIMILAR)})
     before, after = seen["decontamination"]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     hit = decontaminate.decontaminate(before, bench).where("contaminated")

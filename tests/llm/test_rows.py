@@ -168,7 +168,7 @@ def test_licences_are_named_and_plain_text_is_not(spark, odd, none):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].licence for i in range(8)] == ["mit", "apache", "unknown", "gpl", "unknown", "unknown", "cc", "unknown"]
-    assert got[3].n_paragraphs == 3 and [p.paragraph for p in got[3].licences] == [2]
+    assert got[3].n_paragraphs == 3 and [p.paragraph for p in got[3].licences] == [1]
     assert licenses.scan(odd).count() == len(ROWS) and licenses.scan(none).count() == 0
 
 
@@ -179,22 +179,22 @@ def test_lm_base_and_score_match_plain_python(odd, none):
     for i, t, _ in ROWS:
         if not held(i):
             counts.update([*words(t), "\0end"])
-            b = b"\0\0\0" + lower_ascii(t or "").encode() + b"\0"
-            grams.update(b[k - 3: k + 1] for k in range(3, len(b)))
+            b = b"\0" * 5 + lower_ascii(t or "").encode() + b"\0"
+            grams.update(b[k - 5: k + 1] for k in range(5, len(b)))
     total, kinds = sum(counts.values()), len(counts)
 
     def table(order):
         out = {}
         for g, n in grams.items():
-            out.setdefault(g[3 - order: 3], Counter())[g[3]] += n
+            out.setdefault(g[5 - order: 5], Counter())[g[5]] += n
         return out
 
-    tables = [table(k) for k in range(4)]
+    tables = {k: table(k) for k in (5, 3, 2, 1, 0)}
 
     def probability(context, symbol):
         out, barred = 1.0, set()
-        for order in (3, 2, 1, 0):
-            seen = {s: n for s, n in tables[order].get(context[3 - order:], {}).items() if s not in barred}
+        for order in (5, 3, 2, 1, 0):
+            seen = {s: n for s, n in tables[order].get(context[5 - order:], {}).items() if s not in barred}
             if not seen:
                 continue
             size = sum(seen.values()) + len(seen)
@@ -211,8 +211,8 @@ def test_lm_base_and_score_match_plain_python(odd, none):
             len(w), sum(x in counts for x in w), total, held(r.doc_id))
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w))
         if len(w) < 100:
-            b = b"\0\0\0" + lower_ascii(r.text or "").encode() + b"\0"
-            want = sum(math.log10(probability(b[k - 3: k], b[k])) for k in range(3, len(b)))
+            b = b"\0" * 5 + lower_ascii(r.text or "").encode() + b"\0"
+            want = sum(math.log10(probability(b[k - 5: k], b[k])) for k in range(5, len(b)))
             assert r.score == pytest.approx(want, rel=1e-4)
     assert ppm.lm_scores(none).count() == 0
 
