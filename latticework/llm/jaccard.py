@@ -1,11 +1,12 @@
 """N-gram Jaccard join through a token-group matrix.
 
 Texts become sets of hashed word shingles; equal sets are one node. A global order of tokens, rare ones first, gives
-every set a short prefix that must meet the prefix of any set similar enough. Nodes with the same first token form
-groups of bounded size. Three steps then find every link:
+every set a short prefix that must meet the prefix of any set similar enough. Nodes with the same smallest hash (which
+similar sets share as often as they are similar) form groups of bounded size. Three steps then find every link:
 
 1. Inside a group all members are compared, except pairs that are connected already. A large key is cut into several
-   groups which share one member, so near-copies end up connected whatever group they fell into.
+   groups which share one member, so near-copies end up connected whatever group they fell into; groups by the
+   largest hash connect most of those whose smallest hash differs.
 2. The token-group matrix, as (token, group) rows over prefixes, meets the prefixes of all nodes on the token. Pairs
    of one component are left out: of a huge cluster of near-copies nothing remains.
 3. For each pair of node and group the overlap with the group's token union bounds the overlap with any member. Only
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,7 +35,11 @@ WIDTH, SIMILAR = 4, (85, 100)
 # Members of a group, and queries that meet a group in one task.
 GROUP, QUERIES = 256, 1024
 # The order of tokens rests on counts in a sketch of fixed width; any order is exact, a good one is fast.
-SKETCH, SKETCH_SLICES = 1 << 20, 64
+SKETCH, SKETCH_SLICES = 1 << 22, 64
+# Removed documents up to which their ids are broadcast (16 bytes each); beyond, texts are shuffled to them.
+BROADCAST_ROWS = 1_000_000
+# Bits of a set's parity signature, per token and at least: sets that differ in d tokens differ in at most d bits.
+PARITY, LEAST_PARITY = 1, 64
 # Bits of the filter that spares texts of no interest from being cut again; its size is fixed.
 FILTER_BITS = 26
 
@@ -90,13 +95,39 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(measured: DataFrame) -> np.ndarray:
-    """Commonness of the tokens of each sketch cell: log2 of its count over the mean, 0 for the usual."""
+    """Commonness of the tokens of each sketch cell: its count over the mean in steps of an eighth of a doubling."""
     parts = (measured.where(F.col("slice").isNotNull()).select("slice", "counts")
              .repartition(SKETCH_SLICES, "slice").mapInArrow(_add_counts, "slice int, counts binary"))
     counts = np.zeros((SKETCH_SLICES, SKETCH // SKETCH_SLICES), np.int64)
     for r in parts.collect():  # 64 rows of fixed size
         counts[r.slice] = np.frombuffer(r.counts, np.int64)
-    return np.log2(np.maximum(counts.ravel() / max(counts.mean(), 1.0), 1.0)).astype(np.uint8)
+    over = np.log2(np.maximum(counts.ravel(), 1) / max(counts.mean(), 1.0))
+    return np.clip(8 * over + 64, 0, 255).astype(np.uint8)
+
+
+def _parities(sets: _Sets) -> pa.ListArray:
+    """Parity of the count of tokens in each cell, as 64-bit integers; the number of cells is a power of two.
+
+    A signature of twice the cells folds onto a smaller one by XOR of its halves.
+    """
+    cells = np.maximum(LEAST_PARITY, 1 << np.ceil(np.log2(np.maximum(PARITY * sets.n, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(cells)])
+    own = np.repeat(np.arange(len(cells)), sets.n)
+    cell = ((sets.tokens >> np.uint64(20)).astype(np.int64) & (cells[own] - 1)) + first[own]
+    odd = np.zeros(first[-1], bool)
+    at, counts = np.unique(cell, return_counts=True)
+    odd[at[counts & 1 == 1]] = True
+    return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two signatures differ, the longer one folded to the length of the other."""
+    def fold(x: Column, size: Column) -> Column:
+        return F.when(F.size(x) <= size, x).otherwise(F.zip_with(
+            F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q)))
+
+    apart = F.zip_with(fold(a, F.size(b)), fold(b, F.size(a)), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda t, n: t + n)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similar: tuple[int, int],
@@ -117,30 +148,38 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similar: tuple[int,
             sizes = np.bincount(doc[keep], minlength=part.num_rows)[fresh]
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.tokens[order][keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.node[fresh]), pa.array(sets.n[fresh].astype(np.int64)), tokens],
-                                             ["node", "n", "prefix"])
+            marks = _parities(sets).filter(pa.array(fresh))
+            head, tail = (sets.tokens[at[fresh]].view(np.int64) for at in (sets.first[:-1], sets.first[1:] - 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sets.node[fresh]), pa.array(sets.n[fresh].astype(np.int64)), pa.array(head), pa.array(tail),
+                 tokens, marks], ["node", "n", "head", "tail", "prefix", "marks"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Token sets of the rows whose key passes the filter."""
+    """(key, node, tokens) of the rows whose key passes the filter."""
     for batch in batches:
         key = batch.column("_key").to_numpy() & ((1 << FILTER_BITS) - 1)
         batch = batch.filter(pa.array((bits[key >> 6] >> (key & 63).astype(np.uint64)) & np.uint64(1) == 1))
         for part in slices(batch, "_text"):
             sets = _Sets(part.column("_text"), width)
             tokens = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.node), tokens], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(sets.node), tokens], ["key", "node", "tokens"])
+
 
+def _with_tokens(docs: DataFrame, roles: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """The rows of `roles` (node, ...) with the tokens of their nodes, cut again from one text of each node.
 
-def _token_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes (node, key): their texts are found again by one key each."""
+    A fixed-size filter over keys spares most other texts; the join on node and key is what decides. A text that is
+    repeated under one id comes more than once, which the comparisons bear.
+    """
+    named = staged(roles.join(keys, "node"), "roles")
     slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = (nodes.select(F.shiftright(slot, 6).cast("int").alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    rows = (named.select(F.shiftright(slot, 6).cast("int").alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
                  .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow())  # at most 2^20 rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
-    found = docs.mapInArrow(lambda batches: _tokens(batches, width, bits), "node long, tokens array<long>")
-    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = docs.mapInArrow(lambda batches: _tokens(batches, width, bits), "key long, node long, tokens array<long>")
+    return found.join(named, ["node", "key"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +223,7 @@ class _Group:
 
 
 def _link_members(batches: Iterator[pa.RecordBatch], similar: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for rows in _grouped(batches, ["group", "cut"]):
+    for rows in _grouped(batches, ["unit"]):
         node, pivot = rows.column("node").to_numpy(), int(rows.column("pivot")[0].as_py())
         group = _Group(rows.column("tokens"), similar)
         label = np.arange(len(node))
@@ -201,12 +240,12 @@ def _link_members(batches: Iterator[pa.RecordBatch], similar: tuple[int, int]) -
         for k in np.unique(label):
             own = label == k
             part[own] = pivot if (node[own] == pivot).any() else node[own].min()
-        yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("group"), rows.column("cut"), pa.array(part)],
-                                         ["node", "group", "cut", "part"])
+        yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("unit"), pa.array(part), rows.column("once")],
+                                         ["node", "unit", "part", "once"])
 
 
 def _open_groups(batches: Iterator[pa.RecordBatch], similar: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for rows in _grouped(batches, ["group", "cut", "block"]):
+    for rows in _grouped(batches, ["unit", "block"]):
         asks, part = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("part").to_numpy()
         members = np.flatnonzero(~asks)
         queries = np.flatnonzero(asks)
@@ -242,57 +281,72 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
     levels = _levels(measured)
     sized = measured.where(F.col("slice").isNull()).select("id", "key", "body", "node", "n")
     keys = staged(sized.where(F.col("n") > 0).groupBy("node").agg(F.min("key").alias("key")), "nodes")
-    sets = staged(source.mapInArrow(lambda b: _prefixes(b, width, similar, levels), "node long, n long, prefix array<long>")
-                  .dropDuplicates(["node"]), "prefixes")
-
-    # groups: nodes with the same first token, cut to GROUP members, each cut with the key's pivot
-    heads = sets.select("node", "n", F.col("prefix")[0].alias("group"))
-    sizes = heads.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where(F.col("size") > 1)
-    shared = heads.join(sizes, "group").withColumn("cuts", F.ceil(F.col("size") / GROUP).cast("int"))
-    own_cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    shared = staged(shared.select("node", "group", "pivot", F.explode(F.when(
-        F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own_cut))).alias("cut")),
-        "groups")
-    wanted = keys.join(shared.select("node").distinct(), "node")
-    linked = (_token_sets(source, wanted, width).join(shared, "node").repartition("group", "cut")
-              .sortWithinPartitions("group", "cut", "node")
-              .mapInArrow(lambda b: _link_members(b, similar), "node long, group long, cut int, part long"))
-    members = (heads.join(shared.select("node").distinct(), "node", "left_anti")
-               .select("node", "group", F.lit(0).alias("cut"), F.col("node").alias("part"), F.lit(True).alias("alone"))
-               .unionByName(linked.withColumn("alone", F.lit(False))).join(sets.select("node", "n"), "node"))
-    members = staged(members, "members")
+    found = source.mapInArrow(lambda b: _prefixes(b, width, similar, levels),
+                              "node long, n long, head long, tail long, prefix array<long>, marks array<long>")
+    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    # tasks that saw the same set each wrote it; one row of a node counts from here on
+    heads = staged(found.groupBy("node").agg(F.min("row").alias("row"), F.min("head").alias("head"), F.min("tail").alias("tail")), "heads")
+
+    # groups: nodes with the same smallest token, cut to GROUP members, each cut with the key's pivot
+    def groups(key: str) -> DataFrame:
+        sizes = heads.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where(F.col("size") > 1)
+        rows = heads.join(sizes, key).withColumn("cuts", F.ceil(F.col("size") / GROUP).cast("int"))
+        own_cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+        rows = rows.select("node", key, "pivot", F.explode(F.when(
+            F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own_cut))).alias("cut"))
+        first = (F.col("node") != F.col("pivot")) | (F.col("cut") == 0)  # true once for every node
+        return rows.select("node", "pivot", F.xxhash64(F.lit(key), key, "cut").alias("unit"), first.alias("once"))
+
+    # a second grouping, by the largest token, only connects: it gathers near-copies whose smallest token differs
+    shared = staged(groups("head").unionByName(groups("tail").withColumn("once", F.lit(None).cast("boolean"))), "groups")
+    linked = staged(_with_tokens(source, shared, keys, width).repartition("unit").sortWithinPartitions("unit", "node")
+                    .mapInArrow(lambda b: _link_members(b, similar), "node long, unit long, part long, once boolean")
+                    .distinct(), "linked")
+    parts = components(linked.select(F.col("node").alias("a"), F.col("part").alias("b")))
+    # a node alone under its smallest token is its own group
+    inside = linked.where(F.col("once").isNotNull()).select("node", "unit", "once")
+    members = (heads.join(inside.select("node").distinct(), "node", "left_anti")
+               .select("node", F.col("node").alias("unit"), F.lit(True).alias("once")).unionByName(inside))
+    members = members.join(parts, "node", "left").select("node", "unit", F.coalesce("root", "node").alias("part"), "once")
+    members = staged(members.join(heads.select("node", "row"), "node").join(found.drop("head", "tail"), ["node", "row"]).drop("row"),
+                     "members")
 
     # the matrix over index prefixes, asked by query prefixes; the smaller set of a pair is the member
-    parts = members.groupBy("node").agg(F.min("part").alias("part"), F.min("group").alias("group"), F.min("cut").alias("cut"),
-                                        F.min("n").alias("n"))
     short = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)).cast("int") + 1
-    entries = (members.join(sets.select("node", "prefix"), "node")
-               .select("group", "cut", "part", "n", "alone", F.explode(F.slice("prefix", 1, short)).alias("token")))
-    names = ["token", "group", "cut", "part"]
+    size = F.col("n").cast("int")
+    entries = members.select("unit", "part", size.alias("n"), (F.col("unit") == F.col("node")).alias("alone"),
+                             F.explode(F.slice("prefix", 1, short)).alias("token"))
+    names = ["token", "unit", "part"]
     matrix = (entries.where("alone").select(*names, F.col("n").alias("lo"), F.col("n").alias("hi"))
               .unionByName(entries.where(~F.col("alone")).groupBy(*names).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))))
-    asks = (parts.join(sets.select("node", "prefix"), "node")
-            .select(F.col("node").alias("q"), F.col("part").alias("q_part"), F.col("n").alias("q_n"),
-                    F.col("group").alias("q_group"), F.col("cut").alias("q_cut"), F.explode("prefix").alias("token")))
-    near = ((F.col("part") != F.col("q_part")) & ((F.col("group") != F.col("q_group")) | (F.col("cut") != F.col("q_cut"))) & (F.col("lo") <= F.col("q_n"))
-            & (den * F.col("hi") >= num * F.col("q_n")))
-    pairs = staged(asks.join(matrix, (asks["token"] == matrix["token"]) & near)
-                   .select("q", "q_part", "group", "cut").distinct(), "pairs")
-
-    blocks = pairs.groupBy("group", "cut").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    asked = (members.join(blocks, ["group", "cut"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("node", "part", "group", "cut", "block", F.lit(False).alias("asks")))
-    asking = (pairs.join(blocks, ["group", "cut"])
-              .select(F.col("q").alias("node"), F.col("q_part").alias("part"), "group", "cut",
+    # a pivot asks once, for whichever of its groups; its part is the same in all
+    asks = members.where("once").select(F.explode("prefix").alias("token"), F.col("node").alias("q"),
+                                      F.col("part").alias("q_part"), size.alias("q_n"))
+    near = ((F.col("part") != F.col("q_part")) & (F.col("lo") <= F.col("q_n")) & (den * F.col("hi") >= num * F.col("q_n")))
+    pairs = staged(asks.join(matrix, (asks["token"] == matrix["token"]) & near).select("q", "q_part", "unit").distinct(), "pairs")
+    # a group of one is dismissed where parity signatures differ in more bits than a link may differ in tokens
+    signed = members.where("once").select("node", "n", "marks")
+    alone = pairs.join(signed.select(F.col("node").alias("unit"), F.col("n").alias("n_m"), F.col("marks").alias("marks_m")), "unit")
+    alone = alone.join(signed.select(F.col("node").alias("q"), "n", "marks"), "q")
+    alone = alone.where(_bits_apart(F.col("marks"), F.col("marks_m")) * (den + num) <= (den - num) * (F.col("n") + F.col("n_m")))
+    alone = alone.select("q", "q_part", "unit")
+    many = pairs.join(members.where(F.col("unit") != F.col("node")).select("unit").distinct(), "unit", "left_semi")
+    pairs = staged(alone.unionByName(many.select("q", "q_part", "unit")), "open")
+
+    blocks = pairs.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    asked = (members.select("node", "part", "unit").join(blocks, "unit")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("node", "part", "unit", "block", F.lit(False).alias("asks")))
+    asking = (pairs.join(blocks, "unit")
+              .select(F.col("q").alias("node"), F.col("q_part").alias("part"), "unit",
                       F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("asks")))
-    roles = staged(asked.unionByName(asking), "roles")
-    wanted = keys.join(roles.select("node").distinct(), "node")
-    links = (roles.join(_token_sets(source, wanted, width), "node").repartition("group", "cut", "block")
-             .sortWithinPartitions("group", "cut", "block", "asks", "node")
+    links = (_with_tokens(source, asked.unionByName(asking), keys, width).repartition("unit", "block")
+             .sortWithinPartitions("unit", "block", "asks", "node")
              .mapInArrow(lambda b: _open_groups(b, similar), "a long, b long"))
     roots = components(links.distinct())
 
-    placed = (parts.select("node", "part").join(roots.select(F.col("node").alias("at"), "root"), F.col("part") == F.col("at"),
+    parts = members.select("node", "part").distinct()
+    placed = (parts.join(roots.select(F.col("node").alias("at"), "root"), F.col("part") == F.col("at"),
                                                 "left").select("node", F.coalesce("root", "part").alias("root")))
     return sized, placed
 
@@ -327,17 +381,22 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIM
     one stays, whichever.
     """
     sized, placed = _rooted(docs, width, similar, text, ident)
-    some = sized.where(F.col("n") > 0)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "body")).alias("f")
-    # equal sets are reduced before the shuffle, then one row a component remains
-    kept = (some.groupBy("node").agg(first).join(placed, "node").groupBy("root").agg(F.min("f").alias("f"))
-            .select("f.id", "f.body"))
-    kept = kept.unionByName(sized.where(F.col("n") == 0).select("id", "body").distinct()).select(
-        F.col("id").alias("_kept_id"), F.col("body").alias("_kept_body"))
-    left = docs.join(kept, docs[ident].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs[text]) == kept["_kept_body"]), "left_semi")
+    some = sized.where(F.col("n") > 0).select("id", "body", "node")
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "body")
+    # equal sets are reduced before the shuffle
+    first = some.groupBy("node").agg(F.min(row).alias("f")).join(placed, "node")
+    kept = first.groupBy("root").agg(F.min("f").alias("f"))
+    kept = first.select("node", "root").join(kept, "root").select("node", "f")
+    other = ~(row.eqNullSafe(F.col("f")))
+    gone = staged(some.join(kept, "node").where(other).select(F.col("id").alias("_id"), F.col("body").alias("_body")).distinct(), "gone")
     again = staged(some.groupBy("id", "body").count().where(F.col("count") > 1).select(
-        F.col("id").alias("_again_id"), F.col("body").alias("_again_body")), "again")
+        F.col("id").alias("_id"), F.col("body").alias("_body")), "again")
+
+    def among(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        small = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
+        return rows.join(small, rows[ident].eqNullSafe(small["_id"]) & (F.xxhash64(rows[text]) == small["_body"]), how)
+
+    left = among(docs, gone, "left_anti")
     if again.isEmpty():
         return left
-    twice = left[ident].eqNullSafe(again["_again_id"]) & (F.xxhash64(left[text]) == again["_again_body"])
-    return left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates([ident, text]))
+    return among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates([ident, text]))
