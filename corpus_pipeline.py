@@ -17,8 +17,8 @@ from latticework.llm.quality import assess  # noqa: E402
 from latticework.llm.sharding import shard  # noqa: E402
 from latticework.session import scratch_path  # noqa: E402
 
-# Documents near copies by five-word shingles at a similarity of 0.8 or more.
-WIDTH, SIMILAR = 5, (80, 100)
+# Near copies share 0.85 of their five-word shingles.
+WIDTH, SIMILAR = 5, (85, 100)
 SHARDS = 8
 
 
