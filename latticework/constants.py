@@ -33,7 +33,6 @@ NN_WINDOW = (0.6, 3.6)
 UNIT_SCORE_ACCEPT = 0.60
 UNIT_TIE_MARGIN = 0.15
 ANGSTROM_PRIOR_MARGIN = 0.30
-UNIT_SAMPLE = 2000
 
 # Joint decoding weights.
 W_PMI = 0.5

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # of such groups has one row per four million input rows: about 16 MB for 10^12 rows, safe to broadcast.
 HOT_ROWS = 4_000_000
 # Buckets used to locate an order statistic.
-QUANTILE_BUCKETS = 4096
+QUANTILE_BUCKETS = 256
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -29,26 +29,42 @@ def _number(df: DataFrame, column: str) -> Column:
 
 def hot_groups(df: DataFrame, keys: list[str], order: str | None = None,
                hot_rows: int | None = None) -> DataFrame | None:
-    """Groups above the limit with their size and range, or None where there are none.
+    """Groups above the limit, with borders that cut them by measured quantiles of `order`, or None where there are none.
 
-    Runs one map-side-combined count now, so that ordinary data gets the short plan.
+    Runs one map-side-combined count now, so that ordinary data gets the short plan; borders are measured for the
+    groups above the limit only.
     """
-    value = _number(df, order) if order else F.lit(0.0)
-    hot = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-             .where(F.col("_n") > (hot_rows or HOT_ROWS)))
-    return None if hot.isEmpty() else hot
-
-
-def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: str, hot_rows: int | None) -> DataFrame:
-    """Add `_bucket`, increasing with `order` inside each group; 0 for groups that are not hot."""
+    limit = hot_rows or HOT_ROWS
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    if hot.isEmpty():
+        return None
+    if order is None:
+        return hot
+    large = joined_safely(df.select(*keys, _number(df, order).alias("_o")), F.broadcast(hot), keys, "inner")
+    most = hot.agg(F.max("_n")).first()[0]
+    cuts = -(-most // limit)
+    points = F.array(*[F.lit(i / cuts) for i in range(1, cuts)]) if cuts > 1 else F.array(F.lit(0.5))
+    borders = large.groupBy(*keys).agg(F.percentile_approx("_o", points, 10 * cuts + 1000).alias("_borders"))
+    return borders.withColumn("_borders", F.coalesce("_borders", F.array().cast("array<double>")))
+
+
+def joined_safely(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` where null equals null; the keys come from the left."""
+    other = right.select(*[F.col(k).alias(f"_safe_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        same = left[k].eqNullSafe(other[f"_safe_{k}"])
+        on = same if i == 0 else on & same
+    return left.join(other, on, how).drop(*[f"_safe_{k}" for k in keys])
+
+
+def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add `_bucket`, increasing with `order` (nulls first, as in a sort); 0 for groups that are not hot."""
     value = _number(df, order)
-    n_buckets = F.ceil(F.col("_n") / F.lit(hot_rows or HOT_ROWS))
-    spot = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_buckets)
-    bucket = (F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))
-               .otherwise(F.least(spot, n_buckets - 1)))
-    return (df.join(F.broadcast(hot), keys, "left").withColumn("_bucket", bucket.cast("long"))
-              .drop("_n", "_lo", "_hi"))
+    above = F.size(F.filter("_borders", lambda b: b < value))
+    bucket = F.when(F.col("_borders").isNull() | value.isNull(), F.lit(0)).otherwise(above)
+    cut = joined_safely(df, F.broadcast(hot), keys, "left")
+    return cut.withColumn("_bucket", bucket.cast("long")).drop("_borders")
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str,
@@ -58,14 +74,14 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], name: str,
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(whole) - 1).cast("long"))
-    cut = _cut(df, hot, keys, order[0], hot_rows)
+    cut = _cut(df, hot, keys, order[0])
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     numbered = cut.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     # only later buckets need an offset: one row per hot_rows input rows, same bound as the hot table
     offsets = sizes.select(*keys, "_bucket", F.sum("_rows").over(before).alias("_offset")).where("_bucket > 0")
-    return (numbered.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+    return (joined_safely(numbered, F.broadcast(offsets), [*keys, "_bucket"], "left")
                     .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0).cast("long")))
                     .drop("_offset", "_bucket"))
 
@@ -84,24 +100,25 @@ def fill_forward(df: DataFrame, keys: list[str], bucket: str, order: str, source
               .withColumn(name, F.coalesce("_local", "_carry")).drop("_local", "_carry"))
 
 
-def runs(df: DataFrame, keys: list[str], value: str, order: str, hot_rows: int | None = None) -> DataFrame:
-    """Runs of equal consecutive values: (keys, value, run_start, run_length)."""
-    slim = df.select(*keys, value, order)
-    hot = hot_groups(slim, keys, order, hot_rows)
+def runs(df: DataFrame, keys: list[str], value: str, order: str | list[str], hot_rows: int | None = None) -> DataFrame:
+    """Runs of equal consecutive values: (keys, value, run_start, run_length); later order columns decide ties."""
+    order = [order] if isinstance(order, str) else order
+    slim = df.select(*keys, value, *order)
+    hot = hot_groups(slim, keys, order[0], hot_rows)
     if hot is None:
-        whole = W.partitionBy(*keys).orderBy(order)
+        whole = W.partitionBy(*keys).orderBy(*order)
         new = ~F.lag(value).over(whole).eqNullSafe(F.col(value)) | (F.row_number().over(whole) == 1)
         return (slim.withColumn("_new", new.cast("long"))
                     .withColumn("_run", F.sum("_new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
-                    .groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order).alias("run_start"),
+                    .groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order[0]).alias("run_start"),
                                                 F.count(F.lit(1)).alias("run_length")).drop("_run"))
-    cut = _cut(slim, hot, keys, order, hot_rows)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
+    cut = _cut(slim, hot, keys, order[0])
+    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     starts = ~F.lag(value).over(inside).eqNullSafe(F.col(value)) | (F.row_number().over(inside) == 1)
     islands = (cut.withColumn("_starts", starts.cast("long"))
                   .withColumn("_island", F.sum("_starts").over(inside.rowsBetween(W.unboundedPreceding, 0)))
                   .groupBy(*keys, "_bucket", "_island")
-                  .agg(F.first(value).alias(value), F.min(order).alias("run_start"),
+                  .agg(F.first(value).alias(value), F.min(order[0]).alias("run_start"),
                        F.count(F.lit(1)).alias("run_length")))
     last_of = W.partitionBy(*keys, "_bucket")
     islands = islands.withColumn("_last", F.max("_island").over(last_of))
@@ -124,19 +141,19 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str,
                     ranks: dict[str, Callable[[Column], Column]], freq: Column | None = None) -> DataFrame:
     """Exact order statistics: (keys, n, stat, value) with value = sorted[rank(n)], rank 0-based.
 
-    Equal values are pre-aggregated before the shuffle; a histogram over the group's range finds the one
-    bucket that holds each rank, and only that bucket's distinct values are ordered.
+    Equal values are pre-aggregated before the shuffle; measured quantiles cut each group into buckets of about as
+    many distinct values, exact counts find the one bucket that holds each rank, and only its values are ordered.
     """
     freq = F.lit(1) if freq is None else freq
     distinct = (df.select(*keys, F.col(value).cast("double").alias("_v"), freq.cast("long").alias("_f"))
                   .where(F.col("_v").isNotNull())
                   .groupBy(*keys, "_v").agg(F.sum("_f").alias("_f")))
-    stats = distinct.groupBy(*keys).agg(F.sum("_f").alias("n"), F.min("_v").alias("_lo"),
-                                        F.max("_v").alias("_hi"))
-    spot = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * QUANTILE_BUCKETS)
-    binned = (distinct.join(stats, keys)
-                      .withColumn("_b", F.when(F.col("_hi") <= F.col("_lo"), F.lit(0)).otherwise(
-                          F.least(spot, F.lit(QUANTILE_BUCKETS - 1))).cast("int"))
+    points = F.array(*[F.lit(i / QUANTILE_BUCKETS) for i in range(1, QUANTILE_BUCKETS)])
+    stats = distinct.groupBy(*keys).agg(F.sum("_f").alias("n"),
+                                        F.percentile_approx("_v", points, 10 * QUANTILE_BUCKETS).alias("_borders"))
+    above = F.size(F.filter("_borders", lambda b: b < F.col("_v")))
+    binned = (joined_safely(distinct, stats, keys)
+                      .withColumn("_b", above.cast("int"))
                       .select(*keys, "_v", "_f", "_b"))
     by_bucket = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     buckets = (binned.groupBy(*keys, "_b").agg(F.sum("_f").alias("_c"))
@@ -144,11 +161,11 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str,
     wanted = stats.select(*keys, "n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("stat"), rank(F.col("n")).cast("long").alias("_rank"))
         for name, rank in ranks.items()])).alias("_w")).select(*keys, "n", "_w.stat", "_w._rank")
-    hits = (buckets.join(wanted, keys)
+    hits = (joined_safely(buckets, wanted, keys)
                    .where((F.col("_rank") < F.col("_cum")) & (F.col("_rank") >= F.col("_cum") - F.col("_c")))
                    .select(*keys, "_b", "n", "stat", (F.col("_rank") - F.col("_cum") + F.col("_c")).alias("_r")))
     inside = W.partitionBy(*keys, "stat").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    return (binned.join(hits, [*keys, "_b"])
+    return (joined_safely(binned, hits, [*keys, "_b"])
                   .withColumn("_upto", F.sum("_f").over(inside))
                   .where(F.col("_upto") > F.col("_r"))
                   .groupBy(*keys, "n", "stat").agg(F.min("_v").alias("value")))
@@ -161,7 +178,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     slim = (df.select(*keys, F.col(value).cast("double").alias("_x"), weight.cast("long").alias("_w"))
               .where(F.col("_x").isNotNull()))
     hot = hot_groups(slim, keys, hot_rows=hot_rows)
-    cold = slim if hot is None else slim.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = slim if hot is None else joined_safely(slim, F.broadcast(hot.select(*keys)), keys, "left_anti")
     points = F.array(*[F.lit(float(p)) for p in probs.values()])
     cold = (cold.groupBy(*keys).agg(F.sum("_w").alias("n"), F.percentile("_x", points, F.col("_w")).alias("_q"))
                 .select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]))
@@ -171,7 +188,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     for name, p in probs.items():
         ranks[name + "|lo"] = lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1))
         ranks[name + "|hi"] = lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))
-    picked = values_at_ranks(slim.join(F.broadcast(hot.select(*keys)), keys, "left_semi"), keys, "_x", ranks, F.col("_w"))
+    picked = values_at_ranks(joined_safely(slim, F.broadcast(hot.select(*keys)), keys, "left_semi"), keys, "_x", ranks, F.col("_w"))
     wide = picked.groupBy(*keys, "n").agg(*[
         F.max(F.when(F.col("stat") == stat, F.col("value"))).alias(stat) for stat in ranks])
     warm = wide.select(*keys, "n", *[

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import N_CLASSES, RDF_CLIP, VAL_MODULUS
-from ..functions.ordered import quantiles, runs, top_k, values_at_ranks
+from ..functions.ordered import joined_safely, quantiles, runs, top_k, values_at_ranks
 
 
 def gid_of(symbols: Column) -> Column:
@@ -90,15 +90,15 @@ def null_report(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(F.col(column).isNotNull()).alias("non_null"), F.count_if(F.col(column).isNull()).alias("nulls"))
 
 
-def run_lengths(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Per key: number of runs, mean, max, upper median and runs of length one."""
+def run_lengths(df: DataFrame, keys: list[str], value: str, order: str | list[str]) -> DataFrame:
+    """Per key, null included: number of runs, mean, max, upper median and runs of length one."""
     found = runs(df, keys, value, order).groupBy(*keys, "run_length").agg(F.count(F.lit(1)).alias("c"))
     stats = found.groupBy(*keys).agg(F.sum("c").alias("n_runs"),
                                      (F.sum(F.col("run_length") * F.col("c")) / F.sum("c")).alias("mean"),
                                      F.max("run_length").alias("max"),
                                      F.sum(F.when(F.col("run_length") == 1, F.col("c")).otherwise(0)).alias("n_len1"))
     middle = values_at_ranks(found, keys, "run_length", {"m": lambda n: F.floor(n / 2)}, F.col("c"))
-    return stats.join(middle.select(*keys, F.col("value").cast("long").alias("median")), keys)
+    return joined_safely(stats, middle.select(*keys, F.col("value").cast("long").alias("median")), keys)
 
 
 def hist_percentiles(hist: DataFrame, keys: list[str], value: str, freq: str,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import (BIN_WIDTH, CN_RADII, K_ENV, M_ENV, N_BINS, R_MAX, RDF_CLIP, SMEAR_REACH,
+from ..constants import (BIN_WIDTH, CN_RADII, K_ENV, M_ENV, N_BINS, N_GLOB, N_PAIR_EXTRA, R_MAX, RDF_CLIP, SMEAR_REACH,
                          SMEAR_SIGMA_BINS)
 from ..functions import lattice as L
 from ..functions.ordered import quantiles
@@ -171,18 +171,16 @@ def average_frames(pairs: DataFrame, types: DataFrame) -> tuple[DataFrame, DataF
     """
     frames = types.groupBy("system_id").agg(F.countDistinct("frame_id").alias("n_frames"))
 
-    def mean_array(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-        flat = df.select(*keys, F.posexplode(column).alias("_p", "_v"))
-        mean = flat.groupBy(*keys, "_p").agg(F.sum(F.col("_v").cast("double")).alias("_s")).join(frames, "system_id")
-        packed = mean.groupBy(*keys).agg(F.sort_array(F.collect_list(
-            F.struct("_p", (F.col("_s") / F.col("n_frames")).alias("v")))).alias("_a"))
-        return packed.select(*keys, F.transform("_a", lambda e: e["v"]).alias(column))
+    def mean_array(df: DataFrame, keys: list[str], *columns: tuple[str, int]) -> DataFrame:
+        sums = [F.sum(F.get(F.col(c), F.lit(k)).cast("double")).alias(f"{c}{k}") for c, n in columns for k in range(n)]
+        return df.groupBy(*keys).agg(*sums).join(frames, "system_id").select(*keys, *[
+            F.array(*[F.col(f"{c}{k}") / F.col("n_frames") for k in range(n)]).alias(c) for c, n in columns])
 
     by_pair, by_type = ["system_id", "type_a", "type_b"], ["system_id", "type_id"]
-    fused_pairs = mean_array(pairs, by_pair, "rdf").join(mean_array(pairs, by_pair, "pair_extra"), by_pair)
+    fused_pairs = mean_array(pairs, by_pair, ("rdf", N_BINS), ("pair_extra", N_PAIR_EXTRA))
     scalar = (types.groupBy(*by_type).agg(F.sum("frac").alias("_s")).join(frames, "system_id")
                    .select(*by_type, (F.col("_s") / F.col("n_frames")).alias("frac")))
-    fused_types = scalar.join(mean_array(types, by_type, "glob"), by_type)
+    fused_types = scalar.join(mean_array(types, by_type, ("glob", N_GLOB)), by_type)
     if "env" in types.columns:
         first = types.groupBy(*by_type).agg(F.min_by("env", "frame_id").alias("env"))
         fused_types = fused_types.join(first, by_type)

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EDGE_EPS, K_ENV, R_ENV, R_MAX, UNIT_SAMPLE
+from ..constants import EDGE_EPS, K_ENV, R_ENV, R_MAX
 from ..functions import lattice as L
-from ..functions.hashing import hash_key
+from ..functions.hashing import uniform
 from ..functions.ordered import top_k
+from ..session import staged
 
 SMALL = 256
 
@@ -115,54 +116,56 @@ def atom_minimum(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("structure_id", "type_a", "i", "type_b").agg(F.min("d").alias("d"))
 
 
-def nn_distance(atoms: DataFrame, max_sample: int = UNIT_SAMPLE, seed: int = 0) -> DataFrame:
-    """Distance from each sampled atom to its nearest neighbour, without images, in stored units.
+def nn_distance(atoms: DataFrame, max_sample: int | None = None, seed: int = 0) -> DataFrame:
+    """Distance from each atom to its nearest neighbour, without images, in stored units.
 
-    The grid step follows each structure's own density, since the length unit is still unknown. A centre
-    is settled once its best distance fits inside one step; the few others retry with a wider grid and
-    finally against their whole structure.
+    The grid step follows each structure's own density inside the box of its middle 90 % along every axis, since the
+    length unit is still unknown and a stray atom must not widen the grid. A centre is settled once its best distance
+    fits inside one step; the few others retry with four times wider cells until all are. With `max_sample`, about
+    that many atoms of a larger structure are centres, chosen by hash.
     """
     points = atoms.select("structure_id", "atom_id", "x", "y", "z")
+    ends = F.array(F.lit(0.05), F.lit(0.95))
     box = points.groupBy("structure_id").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in "xyz"],
-        *[F.max(c).alias(f"hi_{c}") for c in "xyz"])
-    longest = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
-    sides = [F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), longest * 1e-3) for c in "xyz"]
+        *[F.percentile_approx(c, ends, 1000).alias(f"mid_{c}") for c in "xyz"])
+    widths = [F.col(f"mid_{c}")[1] - F.col(f"mid_{c}")[0] for c in "xyz"]
+    sides = [F.greatest(w, F.greatest(*widths) * 1e-3) for w in widths]
     box = box.where(F.col("n") >= 2).select(
         "structure_id", "n", "lo_x", "lo_y", "lo_z",
         F.pow(sides[0] * sides[1] * sides[2] / F.col("n"), 1 / 3).alias("step"))
-    points = points.join(box, "structure_id")
-    sampled = top_k(points, ["structure_id"], [hash_key(seed, F.col("structure_id"), F.col("atom_id")),
-                                               F.col("atom_id")], max_sample)
+    points = staged(points.join(box, "structure_id"), "nn-points")
+    todo = points
+    if max_sample is not None:
+        todo = points.where(uniform(seed, F.col("structure_id"), F.col("atom_id")) * F.col("n") < max_sample)
+    one = (F.col("n") <= SMALL) | (F.col("step") <= 0)
 
     def cells(df: DataFrame, factor: float) -> DataFrame:
-        one = (F.col("n") <= SMALL) | (F.col("step") <= 0)
         return df.withColumns({f"c{c}": F.when(one, F.lit(0)).otherwise(
             F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col("step") * factor))).cast("long") for c in "xyz"})
 
     def reach(c: str) -> Column:
-        one = (F.col("n") <= SMALL) | (F.col("step") <= 0)
         return F.explode(F.when(one, F.array(F.lit(0).cast("long"))).otherwise(
             F.sequence(F.col(f"c{c}") - 1, F.col(f"c{c}") + 1)))
 
     def gap() -> Column:
         return F.sqrt(sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "xyz"), F.lit(0.0)))
 
-    todo, settled = sampled, None
-    for factor in (1.5, 6.0):
+    settled, factor = None, 1.5
+    while True:
         left = cells(todo, factor)
         for c in "xyz":
             left = left.withColumn(f"k{c}", reach(c))
         right = cells(points, factor).select("structure_id", *[F.col(f"c{c}").alias(f"k{c}") for c in "xyz"],
                                              F.col("atom_id").alias("j"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
         best = (left.join(right, ["structure_id", "kx", "ky", "kz"]).where(F.col("j") != F.col("atom_id"))
-                    .withColumn("d", gap()).groupBy("structure_id", "atom_id")
-                    .agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("step").alias("step")))
-        done = best.where((F.col("n") <= SMALL) | (F.col("step") <= 0) | (F.col("d") <= F.col("step") * factor))
-        done = done.select("structure_id", "atom_id", "d")
-        settled = done if settled is None else settled.unionByName(done)
-        todo = todo.where(F.col("n") > SMALL).join(done, ["structure_id", "atom_id"], "left_anti")
-    right = points.select("structure_id", F.col("atom_id").alias("j"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    rest = (todo.join(right, "structure_id").where(F.col("j") != F.col("atom_id"))
-                .withColumn("d", gap()).groupBy("structure_id", "atom_id").agg(F.min("d").alias("d")))
-    return settled.unionByName(rest)
+                    .groupBy("structure_id", "atom_id").agg(F.min(gap()).alias("d")))
+        tried = todo.join(best, ["structure_id", "atom_id"], "left")
+        done = F.coalesce(one | (F.col("d") <= F.col("step") * factor), F.lit(False))
+        tried = staged(tried.withColumn("done", done), "nn-tried")
+        now = tried.where("done").select("structure_id", "atom_id", "d")
+        settled = now if settled is None else settled.unionByName(now)
+        todo = tried.where("NOT done").drop("d", "done")
+        if todo.isEmpty():
+            return settled
+        factor *= 4

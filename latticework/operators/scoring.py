@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -92,6 +93,30 @@ def join_truth(probs: DataFrame, truth: DataFrame) -> DataFrame:
     return ranked(probs).join(known, ITEM).where(F.col("zn") == F.col("true_zn"))
 
 
+def remap_truth(labels: DataFrame, mapping: DataFrame, case: str = "case_id") -> DataFrame:
+    """Truth of cases whose files name types by placeholders: labels (structure_id, type_id, case, label) looked up in
+    mapping (case, label, true_zn). Labels the mapping does not name have no truth and are left out; a case without
+    any mapping keeps its own `true_zn` where the labels carry one."""
+    named = labels.join(mapping.select(case, "label", F.col("true_zn").alias("_mapped")), [case, "label"], "left")
+    cases = mapping.select(case).distinct().withColumn("_has", F.lit(True))
+    named = named.join(cases, case, "left")
+    own = F.col("true_zn") if "true_zn" in labels.columns else F.lit(None).cast("int")
+    return named.withColumn("_zn", F.when(F.col("_has"), F.col("_mapped")).otherwise(own)).where(
+        F.col("_zn").isNotNull()).select(*ITEM, F.col("_zn").alias("true_zn"))
+
+
+def top1_agreement(left: DataFrame, right: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row (agree, n, rate): how often two scorings name the same first class, over items both have (and, with
+    `truth`, whose class is known)."""
+    a = ranked(left).where("rank = 1").select(*ITEM, F.col("zn").alias("_a"))
+    b = ranked(right).where("rank = 1").select(*ITEM, F.col("zn").alias("_b"))
+    both = a.join(b, ITEM)
+    if truth is not None:
+        both = both.join(truth.select(*ITEM).distinct(), ITEM, "left_semi")
+    return both.agg(F.count_if(F.col("_a") == F.col("_b")).alias("agree"), F.count(F.lit(1)).alias("n")).withColumn(
+        "rate", F.col("agree") / F.col("n"))
+
+
 def hits_at_k(ranks: DataFrame, case: str, ks=(1, 3, 5)) -> DataFrame:
     """Hits per case plus one row with a null case for the total."""
     return ranks.rollup(case).agg(*[F.count_if(F.col("rank") <= k).alias(f"top{k}") for k in ks],
@@ -121,14 +146,17 @@ def score_batch(rows: DataFrame, predict: Callable[[pd.DataFrame], list], model:
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tables = predict(batch)
-            out = [(sid, int(t), model, z + 1, float(p))
-                   for sid, ids, table in zip(batch["structure_id"], batch["type_ids"], tables)
-                   for t, probs in zip(ids, table) for z, p in enumerate(probs)]
-            yield pd.DataFrame(out, columns=["structure_id", "type_id", "model", "zn", "p"])
+            tables = [np.asarray(t, np.float64) for t in predict(batch)]
+            counts = [len(t) for t in tables]
+            yield pd.DataFrame({
+                "structure_id": np.repeat(batch["structure_id"].to_numpy(), counts),
+                "type_id": np.concatenate([np.asarray(ids) for ids in batch["type_ids"]]).astype(np.int32) if tables else [],
+                "_p": [row for t in tables for row in t]})
 
     kind = rows.schema["structure_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"structure_id {kind}, type_id int, model string, zn int, p double")
+    scored = rows.mapInPandas(run, f"structure_id {kind}, type_id int, _p array<double>")
+    return scored.select("structure_id", "type_id", F.lit(model).alias("model"), F.posexplode("_p").alias("_z", "p")).select(
+        "structure_id", "type_id", "model", (F.col("_z") + 1).cast("int").alias("zn"), "p")
 
 
 def mean_confidence(probs: DataFrame) -> DataFrame:

@@ -6,14 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import K_ENV, M_ENV, UNITS
 from ..elements import elements
 from ..operators import calibration, corpus, decode, gates, scoring, tokens, units
-from ..operators.augment import make_variants
+from ..operators.augment import make_variants, test_time_variants
 from ..operators.descriptors import average_frames, compute_features
-from ..operators.geometry import relabel_types, rescale
+from ..operators.geometry import relabel_types, rescale, vacuum_box
 from ..operators.neighbors import environment_sets, nn_distance, pack_environments
 from ..operators.sampling import interior_crop, sample_centers
 from ..session import staged
@@ -54,7 +55,8 @@ class Predictor:
     debias: float = 0.0
     fuse: str = "conf"
     env_draws: int = 4
-    max_atoms: int = 100_000
+    max_atoms: int | None = None  # reduce larger periodic structures to an interior crop of about this many
+    variants: int = 0  # jittered copies of each frame, pooled with it
     units: str = "auto"
     confidence: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
@@ -71,6 +73,22 @@ def detect_units(atoms: DataFrame, structures: DataFrame, confidence=None) -> Da
     return units.unit_gate(structures, nn, scores)
 
 
+def jittered_frames(atoms: DataFrame, structures: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Each frame with n mildly jittered copies as further frames of its system; ids of copies become 'frame#k'.
+
+    The frames of a system keep their order and come before all copies.
+    """
+    moved = test_time_variants(atoms, n)
+    name = F.when(F.col("variant") == 0, F.col(SID).cast("string")).otherwise(
+        F.concat_ws("#", F.col(SID).cast("string"), F.col("variant").cast("string")))
+    points = moved.withColumn(SID, name).drop("variant")
+    whole = W.partitionBy("system_id")
+    copies = structures.withColumn("_frames", F.max("frame_id").over(whole) + 1).withColumn(
+        "variant", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    copies = copies.withColumns({"frame_id": F.col("frame_id") + F.col("variant") * F.col("_frames"), SID: name})
+    return staged(points, "variant-atoms"), staged(copies.drop("variant", "_frames"), "variant-frames")
+
+
 def predict(atoms: DataFrame, structures: DataFrame, using: Predictor) -> dict[str, DataFrame]:
     """Ranked candidates and conformal sets for every type of every system.
 
@@ -86,13 +104,21 @@ def predict(atoms: DataFrame, structures: DataFrame, using: Predictor) -> dict[s
         scale = {u: s for u, _, s in UNITS}[using.units]
         verdicts = structures.select(SID, F.lit("atoms").alias("verdict"), F.lit(using.units).alias("unit"), F.lit(scale).alias("scale"))
     atoms, structures = rescale(atoms, structures, verdicts.where("verdict = 'atoms'"))
+    if not structures.where("cell IS NULL OR NOT pbc").isEmpty():  # once, for descriptors and environments alike
+        boxed, cells = vacuum_box(atoms, structures)
+        atoms, structures = staged(boxed, "boxed-atoms"), staged(cells, "boxed-cells")
+    if using.variants:
+        atoms, structures = jittered_frames(atoms, structures, using.variants)
     pairs, types = compute_features(atoms, structures, with_env=False, max_atoms=using.max_atoms)
     frames = structures.select(SID, "system_id", "frame_id")
     pairs, types = staged(pairs.join(frames, SID), "pairs"), staged(types.join(frames, SID), "types")
 
     # one neighbour search over the union of all draws' centres; crops keep only complete centres
-    points, cells = interior_crop(atoms, structures, using.max_atoms)
-    picks = staged(sample_centers(points.where("is_center"), M_ENV, 1000, draws=max(2, using.env_draws)), "draws")
+    points, cells, centers = atoms, structures, atoms
+    if using.max_atoms is not None:
+        points, cells = interior_crop(atoms, structures, using.max_atoms)
+        centers = points.where("is_center")
+    picks = staged(sample_centers(centers, M_ENV, 1000, draws=max(2, using.env_draws)), "draws")
     picks = picks.where(F.col("draw") < max(1, using.env_draws))
     found = staged(environment_sets(points, cells, picks.select(SID, "atom_id").distinct(), K_ENV), "environments")
     rows = None

@@ -14,7 +14,7 @@ from ..session import staged, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("structures", "corpus", "scores", "records", "files")
+_MODULES = ("structures", "corpus", "scores", "records", "files", "workflows")
 
 
 def query(name: str, views: str = "", sql: str | None = None):

@@ -78,6 +78,18 @@ def aug_subsample(spark, sf_dir):
     return thin.groupBy("structure_id", "type_id").agg(F.count(F.lit(1)).alias("n"), F.sum("atom_id").alias("ids"))
 
 
+def _beta_sql(purpose: str, a: float, b: float) -> str:
+    """SQL of a beta draw: the first of 16 hashed pairs whose sum is at most one."""
+    def draw(letter: str, power: float) -> str:
+        return f"pow({u(chr(39) + '7' + chr(39), 'structure_id', chr(39) + purpose + chr(39), 't', chr(39) + letter + chr(39))}, {1 / power!r})"
+    pairs = f"list_transform(range(0, 16), t -> {{'x': {draw('u', a)}, 'y': {draw('v', b)}}})"
+    return f"list_transform(list_filter({pairs}, p -> p.x + p.y <= 1 AND p.x + p.y > 0)[1:1], p -> p.x / (p.x + p.y))[1]"
+
+
+_AHEAD = ("CAST(1 + CAST(f{1} - e{1} < f{0} - e{0} OR (f{1} - e{1} = f{0} - e{0} AND {1} < {0}) AS INT)"
+          " + CAST(f{2} - e{2} < f{0} - e{0} OR (f{2} - e{2} = f{0} - e{0} AND {2} < {0}) AS INT) <= n - m - f0 - f1 - f2 AS INT)")
+
+
 @query("aug_split", "atoms counts", f"""
     , sized AS (SELECT *, count(*) OVER (PARTITION BY structure_id) AS t FROM counts),
     pick AS (SELECT structure_id, type_id, n, t, 2 + CAST(floor({u("'7'", "structure_id", "'m'")} * (least(3, 9 - t) - 1)) AS INT) AS m,
@@ -88,7 +100,18 @@ def aug_subsample(spark, sf_dir):
              FROM (SELECT *, row_number() OVER (PARTITION BY structure_id
                           ORDER BY md5('7|' || structure_id || '|' || type_id || '|split'), type_id) AS rn
                    FROM sized WHERE n >= 4 AND t < 8) c WHERE rn = 1),
-    cut AS (SELECT *, CASE WHEN c2 >= c1 THEN c2 + 1 ELSE c2 END AS c3 FROM pick),
+    stick AS (SELECT *, {_beta_sql("stick20", 0.3, 0.3)} AS b2, {_beta_sql("stick30", 0.3, 0.6)} AS b3,
+                     {_beta_sql("stick31", 0.3, 0.3)} AS b31 FROM pick),
+    exact AS (SELECT *, (n - m) * CASE WHEN m = 2 THEN b2 ELSE b3 END AS e0,
+                     (n - m) * CASE WHEN m = 2 THEN 1 - b2 ELSE (1 - b3) * b31 END AS e1,
+                     CASE WHEN m = 2 THEN 0.0 ELSE (n - m) * ((1 - b3) * (1 - b31)) END AS e2 FROM stick),
+    floors AS (SELECT *, CAST(floor(e0) AS BIGINT) AS f0, CAST(floor(e1) AS BIGINT) AS f1, CAST(floor(e2) AS BIGINT) AS f2 FROM exact),
+    uneven AS (SELECT *, 1 + f0 + {_AHEAD.format(0, 1, 2)} AS u1, 2 + f0 + f1 + {_AHEAD.format(0, 1, 2)} + {_AHEAD.format(1, 0, 2)} AS u2
+               FROM floors),
+    cut AS (SELECT * REPLACE (CASE WHEN skew THEN u1 WHEN m = 2 THEN c1 ELSE least(c1, c2x) END AS c1),
+                   CASE WHEN skew THEN u2 ELSE greatest(c1, c2x) END AS c3
+            FROM (SELECT *, CASE WHEN c2 >= c1 THEN c2 + 1 ELSE c2 END AS c2x,
+                         {u("'7'", "structure_id", "'sizes'")} < 0.5 AS skew FROM uneven) x),
     pos AS (SELECT a.structure_id, a.atom_id, p.t, p.m, p.c1, p.c3, row_number() OVER (PARTITION BY a.structure_id
                    ORDER BY CASE WHEN shuffled THEN {u("'7'", "a.structure_id", "a.atom_id", "'perm'")}
                                  WHEN axis = 0 THEN xi / 100.0 WHEN axis = 1 THEN yi / 100.0 ELSE zi / 100.0 END, a.atom_id) - 1 AS r
@@ -99,7 +122,7 @@ def aug_subsample(spark, sf_dir):
            CAST(sum(a.atom_id) AS BIGINT) AS ids
     FROM atoms a LEFT JOIN g ON g.structure_id = a.structure_id AND g.atom_id = a.atom_id GROUP BY 1, 2""")
 def aug_split(spark, sf_dir):
-    split = A.type_split(typed(spark, sf_dir)[0], 7, uneven_share=0.0)
+    split = A.type_split(typed(spark, sf_dir)[0], 7)
     return split.groupBy("structure_id", "type_id").agg(F.count(F.lit(1)).alias("n"), F.sum("atom_id").alias("ids"))
 
 

@@ -161,15 +161,22 @@ def coverage_report(spark, sf_dir):
     return report.select("n", *[F.round(c, 6).alias(c) for c in ("coverage", "mean_size", "median_size", "p90_size")])
 
 
-# four types per structure with fractions 0.1, 0.2, 0.3, 0.4; four candidates each, so 256 assignments
+# four types per structure with fractions 0.1, 0.2, 0.3, 0.4; ten candidates each, the best 300 kept after every type
 add_view("cand", "probs3", """
     SELECT structure_id, type_id, zn, ln(p + 1e-12) AS logp FROM (
-        SELECT *, row_number() OVER (PARTITION BY structure_id, type_id ORDER BY ln(p + 1e-12) DESC, zn) AS rn FROM probs3) t WHERE rn <= 4""")
-add_view("joint", "cand", """
-    SELECT a.structure_id, a.zn AS z0, b.zn AS z1, c.zn AS z2, d.zn AS z3, a.logp + b.logp + c.logp + d.logp AS s
-    FROM cand a JOIN cand b ON b.structure_id = a.structure_id AND b.type_id = 1
-         JOIN cand c ON c.structure_id = a.structure_id AND c.type_id = 2
-         JOIN cand d ON d.structure_id = a.structure_id AND d.type_id = 3 WHERE a.type_id = 0""")
+        SELECT *, row_number() OVER (PARTITION BY structure_id, type_id ORDER BY ln(p + 1e-12) DESC, zn) AS rn FROM probs3) t WHERE rn <= 10""")
+add_view("joint2", "cand", """
+    SELECT a.structure_id, a.zn AS z0, b.zn AS z1, 0.0 - a.logp - b.logp AS cost
+    FROM cand a JOIN cand b ON b.structure_id = a.structure_id AND b.type_id = 1 WHERE a.type_id = 0""")
+add_view("joint3", "joint2 cand", """
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY cost, z0, z1, z2) AS rn FROM (
+        SELECT j.structure_id, z0, z1, c.zn AS z2, j.cost - c.logp AS cost
+        FROM joint2 j JOIN cand c ON c.structure_id = j.structure_id AND c.type_id = 2) t) r WHERE rn <= 300""")
+add_view("joint", "joint3 cand", """
+    SELECT structure_id, z0, z1, z2, z3, -cost AS s FROM (
+        SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY cost, z0, z1, z2, z3) AS rn FROM (
+            SELECT j.structure_id, z0, z1, z2, d.zn AS z3, j.cost - d.logp AS cost
+            FROM joint3 j JOIN cand d ON d.structure_id = j.structure_id AND d.type_id = 3) t) r WHERE rn <= 300""")
 add_view("zsets", "joint", "SELECT DISTINCT z0, z1, z2, z3 FROM joint")
 add_view("neutral", "zsets oxidation", """
     SELECT z0, z1, z2, z3, CASE WHEN min(abs(0.1 * o0.q + 0.2 * o1.q + 0.3 * o2.q + 0.4 * o3.q)) < 1e-9 THEN 0
@@ -199,7 +206,7 @@ def joint_inputs(spark, sf_dir):
 
 def reranked(spark, sf_dir):
     logp, fractions = joint_inputs(spark, sf_dir)
-    return J.beam_rerank(logp, fractions, pmi_table(spark, sf_dir), top_k=4)
+    return J.beam_rerank(logp, fractions, pmi_table(spark, sf_dir))
 
 
 def joined(zs):
@@ -208,7 +215,7 @@ def joined(zs):
 
 @query("beam_candidates", "joint", f"SELECT structure_id, {_ZS} AS zs, round(s, 6) AS s FROM joint")
 def beam_candidates(spark, sf_dir):
-    found = J.beam_candidates(joint_inputs(spark, sf_dir)[0], top_k=4)
+    found = J.beam_candidates(joint_inputs(spark, sf_dir)[0])
     return found.select("structure_id", joined("zs").alias("zs"), F.round("s", 6).alias("s"))
 
 
@@ -217,14 +224,14 @@ def beam_candidates(spark, sf_dir):
     FROM joint j JOIN neutral n ON n.z0 = j.z0 AND n.z1 = j.z1 AND n.z2 = j.z2 AND n.z3 = j.z3""")
 def neutrality(spark, sf_dir):
     logp, fractions = joint_inputs(spark, sf_dir)
-    found = J.beam_candidates(logp, top_k=4).join(fractions, "structure_id")
+    found = J.beam_candidates(logp).join(fractions, "structure_id")
     return found.select("structure_id", joined("zs").alias("zs"), F.round(J.neutrality(F.col("zs"), F.col("frac")), 6).alias("imbalance"))
 
 
 @query("composition_score", "scored", f"SELECT structure_id, {_ZS} AS zs, round(extra, 6) AS extra FROM scored")
 def composition_score(spark, sf_dir):
     logp, fractions = joint_inputs(spark, sf_dir)
-    found = J.composition_score(J.beam_candidates(logp, top_k=4), fractions, pmi_table(spark, sf_dir))
+    found = J.composition_score(J.beam_candidates(logp), fractions, pmi_table(spark, sf_dir))
     return found.select("structure_id", joined("zs").alias("zs"), F.round("extra", 6).alias("extra"))
 
 

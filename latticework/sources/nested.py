@@ -24,9 +24,9 @@ def read_nested_json(spark: SparkSession, path: str | list[str]) -> tuple[DataFr
     """(frames, sites) of JSON lines {material: {frame: {structure: ...}}}, one or more materials per line.
 
     frames: structure_id, material_id, frame_key, frame_index (file order), inner_id, charge, cell, pbc, n_atoms.
-    sites: one row per site and species entry, ordered by pos.
+    sites: one row per site and species entry, ordered by pos. A malformed line fails the query.
     """
-    parsed = spark.read.text(path).select(F.from_json("value", f"MAP<STRING, MAP<STRING, {FRAME}>>").alias("m"))
+    parsed = spark.read.text(path).select(F.from_json("value", f"MAP<STRING, MAP<STRING, {FRAME}>>", {"mode": "FAILFAST"}).alias("m"))
     materials = parsed.select(F.explode("m").alias("material_id", "frames"))
     frames = materials.select("material_id", F.posexplode("frames").alias("frame_index", "frame_key", "f")).select(
         F.concat_ws("#", "material_id", "frame_key").alias("structure_id"), "material_id", "frame_key", "frame_index",

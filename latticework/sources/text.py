@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import fill_forward, row_index
 from ..operators.geometry import relabel_types, wrap_positions
+from ..session import staged
 
 # Section headings of a simulation data file.
 SECTIONS = ("Masses", "Atoms", "Velocities", "Bonds", "Angles", "Dihedrals", "Impropers", "Pair Coeffs",
@@ -44,7 +45,9 @@ def read_lammps(spark: SparkSession, path: str | list[str], recursive: bool = Fa
                   .withColumn("_mark", F.when((heading != "") & (F.col("ord") > 1), F.struct(
                       heading.alias("section"), F.when(style != "", style).alias("style")))))
     tagged = fill_forward(lines, ["file"], "block", "ord", "_mark", "tag")
-    body = tagged.where(F.col("_mark").isNull() & (F.col("text") != "")).withColumn("parts", F.split("text", r"\s+"))
+    # parsed once: structures, atoms and masses all read this table
+    tagged = staged(tagged.select("file", "ord", "value", "text", "tag", F.col("_mark").isNotNull().alias("marked")), "sections")
+    body = tagged.where(~F.col("marked") & (F.col("text") != "")).withColumn("parts", F.split("text", r"\s+"))
 
     def header(ending: str, index: int):
         return F.max(F.when(F.col("text").endswith(ending), F.col("parts")[index].cast("double")))
@@ -77,7 +80,7 @@ def read_lammps(spark: SparkSession, path: str | list[str], recursive: bool = Fa
                    F.array(F.col("xz"), F.col("yz"), F.col("zhi") - F.col("zlo")))
     problem = F.when(F.col("n").isNull() | F.col("xlo").isNull(), F.lit(": header not found")).when(
         F.col("n") != F.coalesce("n_found", F.lit(0)), F.lit(": wrong number of atoms"))
-    files = lines.select("file").distinct().join(head, "file", "left").join(found, "file", "left")
+    files = tagged.select("file").distinct().join(head, "file", "left").join(found, "file", "left")
     # the check sits in `cell`, which every later step needs
     structures = files.select(
         F.col("file").alias("structure_id"), F.when(problem.isNull(), cell).otherwise(
@@ -100,14 +103,32 @@ def read_extxyz(spark: SparkSession, path: str | list[str], recursive: bool = Fa
 
     structures also carries the raw info line, file and frame_start for profiling.
     """
-    lines = ordered_lines(spark, path, recursive)
-    lines = lines.withColumn("_mark", F.when(F.col("value").rlike(r"^\s*\d+\s*$"), F.col("ord")))
+    lines = ordered_lines(spark, path, recursive).withColumn("_whole", F.col("value").rlike(r"^\s*\d+\s*$").cast("long"))
+    # a comment may be a number too: in a stretch of number lines the 1st, 3rd, ... begin a frame, since no atom line is one
+    inside = W.partitionBy("file", "block").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = lines.groupBy("file", "block").agg(F.sum("_whole").alias("_c")).select(
+        "file", "block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    lines = lines.withColumn("_seen", F.sum("_whole").over(inside)).join(sums, ["file", "block"]).withColumn(
+        "_seen", F.col("_seen") + F.col("_before"))
+    lines = fill_forward(lines.withColumn("_other", F.when(F.col("_whole") == 0, F.col("_seen"))),
+                         ["file"], "block", "ord", "_other", "_base")
+    place = F.col("_seen") - F.coalesce("_base", F.lit(0))
+    lines = lines.withColumn("_mark", F.when((F.col("_whole") == 1) & (place % 2 == 1), F.col("ord"))).select(
+        "file", "block", "ord", "value", "_mark")
     framed = fill_forward(lines, ["file"], "block", "ord", "_mark", "frame_start").where(F.col("frame_start").isNotNull())
-    numbered = row_index(framed, ["file", "frame_start"], ["ord"], "line")
+    numbered = staged(row_index(framed, ["file", "frame_start"], ["ord"], "line")
+                      .select("file", "frame_start", "line", "value"), "frames")
     sid = F.concat_ws("#", "file", F.col("frame_start").cast("string")).alias("structure_id")
     heads = numbered.where("line < 2").groupBy("file", "frame_start").agg(
         F.max(F.when(F.col("line") == 0, F.trim("value").cast("long"))).alias("n_atoms"),
         F.max(F.when(F.col("line") == 1, F.col("value"))).alias("info"))
+    # blank lines may follow a frame, but every atom it announces must be there
+    found = numbered.where((F.col("line") >= 2) & (F.trim("value") != "")).groupBy("file", "frame_start").agg(
+        F.count(F.lit(1)).alias("_found"))
+    heads = heads.join(found, ["file", "frame_start"], "left")
+    heads = heads.withColumn("n_atoms", F.when(F.col("n_atoms") == F.coalesce("_found", F.lit(0)), F.col("n_atoms")).otherwise(
+        F.raise_error(F.concat("file", F.lit(": wrong number of atoms in a frame"))).cast("long"))).drop("_found")
     lattice = F.split(F.trim(F.regexp_extract("info", r'[Ll]attice="([^"]*)"', 1)), r"\s+").cast("array<double>")
     listed = F.coalesce(F.nullif(F.regexp_extract("info", r'Properties="?([^\s"]+)', 1), F.lit("")), F.lit("species:S:1:pos:R:3"))
     flags = F.regexp_extract("info", r'pbc="([^"]*)"', 1)
@@ -127,7 +148,10 @@ def read_extxyz(spark: SparkSession, path: str | list[str], recursive: bool = Fa
 
 
 def read_poscar(spark: SparkSession, path: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(structures, atoms) of POSCAR files, one small structure per file; trailing blocks are ignored."""
+    """(structures, atoms) of POSCAR files, one small structure per file; trailing blocks are ignored.
+
+    A file with fewer atom lines than it declares fails the query.
+    """
     files = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("structure_id"), F.split("value", r"\r?\n").alias("l"))
 
@@ -148,9 +172,13 @@ def read_poscar(spark: SparkSession, path: str | list[str], recursive: bool = Fa
         F.expr("transform(sequence(1, size(counts)), k -> aggregate(slice(counts, 1, k), 0, (a, c) -> a + c))").alias("upto"),
         F.upper(F.substring(F.trim(F.get("l", F.col("first") - 1)), 1, 1)).isin("C", "K").alias("cartesian"))
     parsed = parsed.withColumn("n_atoms", F.element_at("upto", -1).cast("long"))
+    parsed = parsed.withColumn("n_atoms", F.when(F.size("l") >= F.col("first") + F.col("n_atoms"), F.col("n_atoms")).otherwise(
+        F.raise_error(F.concat("structure_id", F.lit(": fewer atom lines than declared"))).cast("long")))
     rows = parsed.select("structure_id", "first", "_s", "symbols", "cell", "upto", "cartesian", "n_atoms",
                          F.posexplode(F.expr("slice(l, first + 1, CAST(n_atoms AS INT))")).alias("k", "text"))
     rows = rows.withColumn("p", F.slice(F.split(F.trim("text"), r"\s+"), 1, 3).cast("array<double>"))
+    rows = rows.withColumn("p", F.when(F.exists("p", lambda v: v.isNull()) | (F.size("p") < 3), F.raise_error(
+        F.concat("structure_id", F.lit(": not an atom line: "), "text")).cast("array<double>")).otherwise(F.col("p")))
     place = {c: f"if(cartesian, p[{i}] * _s, p[0] * cell[0][{i}] + p[1] * cell[1][{i}] + p[2] * cell[2][{i}])"
              for i, c in enumerate("xyz")}
     atoms = rows.select("structure_id", F.col("k").cast("long").alias("atom_id"),

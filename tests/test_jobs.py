@@ -1,4 +1,4 @@
-"""End-to-end jobs, augmentation and incremental ingestion on a small corpus."""
+"""End-to-end jobs and augmentation on a small corpus."""
 
 import json
 
@@ -15,7 +15,6 @@ from latticework.operators import learning, tokens
 from latticework.operators import sampling as S
 from latticework.plans import jobs
 from latticework.sources import store
-from latticework.streaming.ingest import ingest_new_files
 
 
 @pytest.fixture(scope="module")
@@ -136,16 +135,3 @@ def test_profile_report(spark, corpus, tmp_path):
     jobs.profile_corpus(corpus[0], None, str(tmp_path / "report"))
     rows = spark.read.json(str(tmp_path / "report")).collect()
     assert {(r.metric, r.value): r.n for r in rows}["n_distinct", "2"] == 12
-
-
-def test_incremental_ingest_sees_each_file_once(spark, tmp_path):
-    folder, seen = tmp_path / "in", []
-    folder.mkdir()
-
-    def handle(batch, _):
-        seen.extend(r.path.rsplit("/", 1)[1] for r in batch.select("path").collect())
-
-    for name in ("a.json", "b.json"):
-        (folder / name).write_text(json.dumps({"k": name}))
-        ingest_new_files(spark, str(folder), str(tmp_path / "state"), handle).awaitTermination()
-    assert seen == ["a.json", "b.json"]

@@ -67,3 +67,18 @@ def test_order_statistics(data):
         ordered = np.sort(values.values)
         mine = got[got.k == k].set_index("stat")["value"]
         assert mine["last"] == ordered[-1] and mine["mid"] == ordered[len(ordered) // 2]
+
+
+@pytest.mark.parametrize("hot_rows", [3, 7, 1000])
+def test_any_limit_gives_the_same_result(spark, hot_rows):
+    """Nulls first, ties by the next column, one far value, null keys."""
+    rows = [(None if i % 5 == 0 else "a", None if i % 4 == 3 else float(i % 6), i, i % 3) for i in range(60)] + [("a", 1e12, 99, 1)]
+    df = spark.createDataFrame(rows, "k string, o double, id long, v int")
+    got = {r.id: r.r for r in O.row_index(df, ["k"], ["o", "id"], "r", hot_rows).collect()}
+    for key in (None, "a"):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        assert [got[r[2]] for r in mine] == list(range(len(mine)))
+    found = sorted(map(str, O.runs(df, ["k"], "v", ["o", "id"], hot_rows).collect()))
+    assert found == sorted(map(str, O.runs(df, ["k"], "v", ["o", "id"]).collect()))
+    middle = {r.k: r.b for r in O.quantiles(df, ["k"], "o", {"b": .5}, hot_rows=hot_rows).collect()}
+    assert middle == {r.k: r.b for r in O.quantiles(df, ["k"], "o", {"b": .5}).collect()} and None in middle
