@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,17 +145,19 @@ def score_batch(rows: DataFrame, predict: Callable[[pd.DataFrame], list], model:
     `predict` gets an Arrow batch as pandas and returns, per row, an (n_types x classes) table of
     probabilities. It is shipped once per task; load weights lazily inside it.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [np.asarray(t, np.float64) for t in predict(batch)]
-            counts = [len(t) for t in tables]
-            yield pd.DataFrame({
-                "structure_id": np.repeat(batch["structure_id"].to_numpy(), counts),
-                "type_id": np.concatenate([np.asarray(ids) for ids in batch["type_ids"]]).astype(np.int32) if tables else [],
-                "_p": [row for t in tables for row in t]})
+            # Arrow's own conversion: environments are nested arrays of unlike lengths
+            frame = pa.Table.from_batches([batch]).to_pandas(maps_as_pydicts="strict")
+            tables = [np.asarray(t, np.float64) for t in predict(frame)]
+            rows_of = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+            ids = np.concatenate([np.asarray(i, np.int32) for i in frame["type_ids"]]) if tables else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("structure_id").take(pa.array(rows_of)), pa.array(ids),
+                 pa.array([row for t in tables for row in t], pa.list_(pa.float64()))], ["structure_id", "type_id", "_p"])
 
     kind = rows.schema["structure_id"].dataType.simpleString()
-    scored = rows.mapInPandas(run, f"structure_id {kind}, type_id int, _p array<double>")
+    scored = rows.mapInArrow(run, f"structure_id {kind}, type_id int, _p array<double>")
     return scored.select("structure_id", "type_id", F.lit(model).alias("model"), F.posexplode("_p").alias("_z", "p")).select(
         "structure_id", "type_id", "model", (F.col("_z") + 1).cast("int").alias("zn"), "p")
 

@@ -180,8 +180,8 @@ def info_labels(spark, sf_dir):
            count(*) FILTER (WHERE len = 1) AS n_len1, max(len) FILTER (WHERE rn = k // 2 + 1) AS median
     FROM o GROUP BY user_id""")
 def run_lengths(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
-    return C.run_lengths(events, ["user_id"], "event_type", "ts").withColumn("mean", F.round("mean", 6))
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return C.run_lengths(events, ["user_id"], "event_type", ["ts", "event_id"]).withColumn("mean", F.round("mean", 6))
 
 
 @query("hist_percentiles", "", """

@@ -82,8 +82,8 @@ def _beta_sql(purpose: str, a: float, b: float) -> str:
     """SQL of a beta draw: the first of 16 hashed pairs whose sum is at most one."""
     def draw(letter: str, power: float) -> str:
         return f"pow({u(chr(39) + '7' + chr(39), 'structure_id', chr(39) + purpose + chr(39), 't', chr(39) + letter + chr(39))}, {1 / power!r})"
-    pairs = f"list_transform(range(0, 16), t -> {{'x': {draw('u', a)}, 'y': {draw('v', b)}}})"
-    return f"list_transform(list_filter({pairs}, p -> p.x + p.y <= 1 AND p.x + p.y > 0)[1:1], p -> p.x / (p.x + p.y))[1]"
+    pairs = f"list_transform(range(0, 16), lambda t: {{'x': {draw('u', a)}, 'y': {draw('v', b)}}})"
+    return f"list_transform(list_filter({pairs}, lambda p: p.x + p.y <= 1 AND p.x + p.y > 0)[1:1], lambda p: p.x / (p.x + p.y))[1]"
 
 
 _AHEAD = ("CAST(1 + CAST(f{1} - e{1} < f{0} - e{0} OR (f{1} - e{1} = f{0} - e{0} AND {1} < {0}) AS INT)"
