@@ -151,7 +151,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id",
     """One row per document: (doc_id, contaminated, n_items, best_item, n_match, start_word, end_word).
 
     best_item has the most matching words, the smallest item_id among equals, with the place of its overlap in
-    words of letters and digits. Null or empty texts, and an empty benchmark, give contaminated = false and nulls
+    words of letters and digits. Items of fewer words than the shortest seed spans (9) match nothing, and items of 9 to
+    12 words can be missed once a word is changed. Null or empty texts, and an empty benchmark, give contaminated = false and nulls
     in the last four; items without words match nothing; rows that share a doc_id (null included) give one row,
     contaminated if any of them is.
     """

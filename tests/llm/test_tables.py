@@ -142,7 +142,7 @@ def test_decontamination_survives_substitutions(spark, odd, none):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
-    items = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(30)] + [None, "", "short one"]
+    items = [" ".join(word() for _ in range(rng.randint(13, 40))) for _ in range(30)] + [None, "", "short one"]
     texts, planted = [], []
     for k in range(160):
         words_ = [word() for _ in range(rng.randint(5, 200))]
