@@ -57,14 +57,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]: offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows whose texts hold about SLICE_BYTES together."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows whose texts hold about `size` bytes together."""
     if not batch.num_rows:
         return
     _, offs = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(offs, offs[start] + SLICE_BYTES, "right")) - 1
+        stop = int(np.searchsorted(offs, offs[start] + size, "right")) - 1
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop

@@ -225,3 +225,14 @@ def test_model_rows_are_distributions():
     key3, back = np.unique(key4 & np.uint32(0xFFFFFF), return_inverse=True)
     model = ppm.PpmModel(key4, n4, key3, np.bincount(back, weights=n4))
     assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(axis=1), 1, atol=1e-3)
+
+
+@pytest.mark.parametrize("caps", [(4, 1 << 21), (1 << 15, 40), (4, 40), (0, 0)])
+def test_lm_score_does_not_depend_on_the_size_of_its_tables(odd, monkeypatch, caps):
+    def scores():
+        return sorted((str(r.doc_id), r.text or "", r.score) for r in ppm.lm_scores(odd, keep=["doc_id", "text", "score"]).collect())
+    whole = scores()
+    monkeypatch.setattr(ppm, "CONTEXTS", caps[0])
+    monkeypatch.setattr(ppm, "LISTED", caps[1])
+    for got, want in zip(scores(), whole, strict=True):
+        assert got[:2] == want[:2] and got[2] == pytest.approx(want[2], rel=1e-5)
