@@ -42,3 +42,13 @@ def test_stages_do_their_work(spark, tmp_path):
     shards = seen["sharding"][1].groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.min("slot").alias("first"))
     assert all(r.first == 0 and r.last == r.n - 1 for r in shards.collect())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_are_those_from_four_fifths(spark):
+    # 41 of 50 shingles shared (82 %) make a near copy, 39 of 50 (78 %) do not
+    def text(tag, shared, own, end):
+        return " ".join([f"{tag}{k}" for k in range(shared + 4)] + [f"{end}{k}" for k in range(own)])
+    rows = [(1, text("s", 41, 9, "a")), (2, text("s", 41, 0, "b")), (3, text("t", 39, 11, "c")), (4, text("t", 39, 0, "d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (corpus_pipeline.WIDTH, corpus_pipeline.SIMILAR) == (5, (80, 100))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == [1, 3, 4]
