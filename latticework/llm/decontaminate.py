@@ -84,18 +84,30 @@ class SeedIndex:
         return tuple(np.unique(found, axis=1)) if found.size else tuple(found)
 
     def verify(self, words: Words, doc: int, item: int, begin: int) -> tuple[int, int, int] | None:
-        """(matching words, first, last + 1) of the best stretch of the diagonal, positions in the text, or None."""
+        """(matching words, first, last + 1) of a stretch of the diagonal, positions in the text, or None.
+
+        Of the stretches with enough matching words the one of the best score, the shortest of equals; it counts
+        unless that score is negative.
+        """
         n_item = int(self.first[item + 1] - self.first[item])
         lo, hi = max(begin, int(words.first[doc])), min(begin + n_item, int(words.first[doc + 1]))
         other = self.hashes[self.first[item] + lo - begin: self.first[item] + hi - begin]
         same = words.hashes[lo:hi] == other
+        need = min(MIN_WORDS, max(1, int(np.ceil(MIN_SHARE * n_item))))
+        match = np.flatnonzero(same)
+        if len(match) < need:
+            return None
         score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-        best = score - np.minimum.accumulate(score)
-        end = int(np.argmax(best))
-        start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[-1])
-        n_match = int(same[start:end].sum())
-        if n_match < min(MIN_WORDS, max(1, int(np.ceil(MIN_SHARE * n_item)))):
+        low = np.minimum.accumulate(score)
+        latest = np.maximum.accumulate(np.where(score == low, np.arange(len(score)), 0))
+        # for each end at a match: the best start that leaves enough matches inside, the latest of equals
+        ends, starts = match[need - 1:] + 1, latest[match[: len(match) - need + 1]]
+        worth = score[ends] - score[starts]
+        best = int(np.lexsort((ends - starts, -worth))[0])
+        if worth[best] < 0:
             return None
+        start, end = int(starts[best]), int(ends[best])
+        n_match = int(same[start:end].sum())
         base = int(words.first[doc])
         return n_match, lo + start - base, lo + end - base
 

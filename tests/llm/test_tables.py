@@ -173,6 +173,17 @@ def test_decontamination_survives_substitutions(spark, odd, none):
     assert decontaminate.decontaminate(none, bench).count() == 0
 
 
+def test_decontamination_counts_words_behind_substitutions(spark):
+    item = [f"w{k}" for k in range(20)]
+    changed = {0: {12}, 1: {12, 14}, 2: {13}, 3: {12, 13, 14, 15, 16, 17, 18}}  # 12 + 1 + 2 and so on
+    texts = [" ".join(["x"] + [f"y{k}" if k in changed[d] else w for k, w in enumerate(item[: 15 if d != 3 else 20])]) for d in changed]
+    texts[1] = " ".join(["x"] + [f"y{k}" if k in changed[1] else w for k, w in enumerate(item[:16])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_match) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {0: (True, 14), 1: (True, 13), 2: (True, 13), 3: (False, None)}
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     items = [" ".join(f"i{k}w{j}" for j in range(20)) for k in range(9)]
     docs = spark.createDataFrame([(k, f"begin {items[k]} end") for k in range(9)], "doc_id long, text string")
