@@ -9,11 +9,13 @@ leaves the task but the verified overlaps.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import Words, mix64, slices
@@ -28,13 +30,52 @@ PENALTY = 2
 BLOCK_WORDS = 1_000_000
 
 # Letters and digits of ASCII and all other characters make words; everything else separates them.
+# Beyond ASCII `plain` has made everything but letters, marks and digits blank.
 _BLANK = np.ones(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _BLANK[_lo:_hi] = False
 
+# Scripts written without spaces: each character is a word.
+_UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+
 SCHEMA = "_row long, item_id long, n_match long, start_word long, end_word long"
 
 
+def plain(text: Column) -> Column:
+    """Lower-cased text whose words are runs of ASCII letters and digits and of other bytes."""
+    text = F.lower(text)
+    apart = F.regexp_replace(F.regexp_replace(text, r"[^\p{ASCII}\p{L}\p{M}\p{N}]+", " "), f"([{_UNSPACED}])", " $1 ")
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(apart)
+
+
+def least_matches(n_item: int) -> int:
+    return min(MIN_WORDS, max(1, int(np.ceil(MIN_SHARE * n_item))))
+
+
+@functools.cache
+def short_seeds(n_item: int) -> tuple[str, ...]:
+    """Masks of which one fits between the changed words, whichever they are, while least_matches(n_item) are left.
+
+    Greedy cover: the mask that fits most of the choices not yet served; wider masks hit less often by chance.
+    """
+    need = least_matches(n_item)
+    weight = min(6, need)
+    choices = {sum(1 << k for k in c) for c in combinations(range(n_item), n_item - need)}
+    fits, out = {}, []
+    for span in range(weight, n_item + 1):
+        for inner in combinations(range(1, span - 1), max(0, weight - 2)):
+            at = {0, *inner, span - 1}
+            if len(at) == weight:
+                mask = "".join("01"[k in at] for k in range(span))
+                bits = sum(1 << k for k in at)
+                fits[mask] = {c for c in choices if any(not (bits << k) & c for k in range(n_item - span + 1))}
+    while choices:
+        mask = max(fits, key=lambda m: (len(fits[m] & choices), m))
+        choices = choices - fits[mask]
+        out.append(mask)
+    return tuple(out)
+
+
 def _windows(words: Words, seed: str) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of every window of the seed inside one text."""
     span, h = len(seed), words.hashes
@@ -56,13 +97,18 @@ class SeedIndex:
     def __init__(self, items: list[int], texts: list[str]):
         words = Words(pa.array(texts, pa.string()), blank=_BLANK)
         self.items, self.first, self.hashes = np.array(items, np.int64), words.first, words.hashes
-        doc, found = words.doc(), [_windows(words, seed) for seed in SEEDS]
-        at, keys = (np.concatenate(x) for x in zip(*found))
-        seed = np.repeat(np.arange(len(SEEDS)), [len(a) for a, _ in found])
+        doc, sizes = words.doc(), words.counts
+        # items of MIN_WORDS matches go by SEEDS, shorter ones also by the masks that serve their length
+        short = {int(n): short_seeds(int(n)) for n in np.unique(sizes) if n and least_matches(int(n)) < MIN_WORDS}
+        self.seeds = [*SEEDS, *sorted({m for masks in short.values() for m in masks} - set(SEEDS))]
         self.tables = []
-        for s in range(len(SEEDS)):
-            order = np.argsort(keys[seed == s], kind="stable")
-            key, pos = keys[seed == s][order], at[seed == s][order]
+        for seed in self.seeds:
+            pos, key = _windows(words, seed)
+            if seed not in SEEDS:
+                mine = np.isin(sizes[doc[pos]], [n for n, masks in short.items() if seed in masks])
+                pos, key = pos[mine], key[mine]
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], pos[order]
             bits = np.zeros(1 << 20, bool)
             bits[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
             self.tables.append((key, pos, doc[pos], bits))
@@ -70,7 +116,7 @@ class SeedIndex:
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (text word at which the item would begin, item, text) of all seed hits."""
         doc, out = words.doc(), []
-        for seed, (key, pos, item, bits) in zip(SEEDS, self.tables):
+        for seed, (key, pos, item, bits) in zip(self.seeds, self.tables):
             at, h = _windows(words, seed)
             maybe = bits[(h & np.uint64(0xFFFFF)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
@@ -81,7 +127,14 @@ class SeedIndex:
             begin = at[which] - (pos[entry] - self.first[item[entry]])
             out.append(np.stack([doc[at[which]], item[entry], begin]))
         found = np.concatenate(out, axis=1)
-        return tuple(np.unique(found, axis=1)) if found.size else tuple(found)
+        if not found.size:
+            return tuple(found)
+        found = np.unique(found, axis=1)
+        # every hit of an item whose words must all match is a whole copy: the last one of a text stands for all
+        more = (found[0, 1:] == found[0, :-1]) & (found[1, 1:] == found[1, :-1])
+        size = self.first[found[1] + 1] - self.first[found[1]]
+        keep = np.append(~more, True) | (size > 4)
+        return tuple(found[:, keep])
 
     def verify(self, words: Words, doc: int, item: int, begin: int) -> tuple[int, int, int] | None:
         """(matching words, first, last + 1) of a stretch of the diagonal, positions in the text, or None.
@@ -93,7 +146,7 @@ class SeedIndex:
         lo, hi = max(begin, int(words.first[doc])), min(begin + n_item, int(words.first[doc + 1]))
         other = self.hashes[self.first[item] + lo - begin: self.first[item] + hi - begin]
         same = words.hashes[lo:hi] == other
-        need = min(MIN_WORDS, max(1, int(np.ceil(MIN_SHARE * n_item))))
+        need = least_matches(n_item)
         match = np.flatnonzero(same)
         if len(match) < need:
             return None
@@ -129,11 +182,11 @@ def _scan(batches: Iterator[pa.RecordBatch], index: SeedIndex) -> Iterator[pa.Re
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key as `_row`, item_id, n_match, start_word, end_word): the best verified overlap of each document and item.
 
-    Words are runs of letters and digits, case ignored. The benchmark is read in blocks of BLOCK_WORDS words, so
+    Words are runs of letters, marks and digits, case ignored, and single characters of scripts without spaces. The benchmark is read in blocks of BLOCK_WORDS words, so
     its table in a task is bounded; one pass over the documents per block.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("_row"), F.lower(F.col(text)).alias("_text"))
+    source = docs.select(F.col(key).cast("long").alias("_row"), plain(F.col(text)).alias("_text"))
     out, items, texts, size = [], [], [], 0
 
     def close():
@@ -141,7 +194,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         out.append(source.mapInArrow(lambda batches: _scan(batches, index), SCHEMA))
         items.clear(), texts.clear()
 
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", F.lower("text").alias("text"))
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", plain(F.col("text")).alias("text"))
     for r in rows.orderBy("item_id", "text").toLocalIterator():  # block by block, never whole
         items.append(-1 if r.item_id is None else r.item_id)
         texts.append(r.text)
@@ -163,8 +216,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id",
     """One row per document: (doc_id, contaminated, n_items, best_item, n_match, start_word, end_word).
 
     best_item has the most matching words, the smallest item_id among equals, with the place of its overlap in
-    words of letters and digits. Items of fewer words than the shortest seed spans (9) match nothing, and items of 9 to
-    12 words can be missed once a word is changed. Null or empty texts, and an empty benchmark, give contaminated = false and nulls
+    words of letters and digits. An item of up to 15 words is found wherever its share of matching words is reached, one of
+    up to four words only as a whole. Null or empty texts, and an empty benchmark, give contaminated = false and nulls
     in the last four; items without words match nothing; rows that share a doc_id (null included) give one row,
     contaminated if any of them is.
     """

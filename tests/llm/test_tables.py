@@ -184,6 +184,26 @@ def test_decontamination_counts_words_behind_substitutions(spark):
     assert got == {0: (True, 14), 1: (True, 13), 2: (True, 13), 3: (False, None)}
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(6)
+    items, texts, planted = [], [], []
+    for n in range(1, 16):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append(" ".join(item))
+        spare = n - decontaminate.least_matches(n)
+        for changed in [set(), *(set(rng.sample(range(n), spare)) for _ in range(6)), set(rng.sample(range(n), spare + 1))]:
+            body = [f"z{k}" if k in changed else w for k, w in enumerate(item)]
+            texts.append(" ".join(["before", *body, "after"]))
+            planted.append(n - 1 if len(changed) <= spare else None)
+    items += ["\u6628\u65e5\u306f\u4e00\u65e5\u4e2d\u96e8\u304c\u964d\u3063\u3066\u3044\u305f", "he said \u201cnot today\u201d and\u00a0left the old house"]
+    texts += ["x" + items[15] + "\u3002", items[15][:10], 'he said "not today" and left the old house', "ascii only"]
+    planted += [15, None, 16, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.best_item for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert [got[k] for k in range(len(texts))] == planted
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     items = [" ".join(f"i{k}w{j}" for j in range(20)) for k in range(9)]
     docs = spark.createDataFrame([(k, f"begin {items[k]} end") for k in range(9)], "doc_id long, text string")
