@@ -315,19 +315,27 @@ def model_spans(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int,
     tags = [np.zeros(len(x), np.int8) for x in ids]
     sure = [np.ones(len(x), np.float32) for x in ids]
     edge = (WINDOW - STEP) // 2
-    for a in range(0, len(jobs), 4096):
-        part = jobs[a: a + 4096]
-        block = np.full((len(part), WINDOW), 32)
-        for r, (k, s) in enumerate(part):
-            own = ids[k][s: s + WINDOW]
-            block[r, : len(own)] = own
-        best, post = model.decode(block)
-        for r, (k, s) in enumerate(part):
-            lo = s + edge if s else 0
-            hi = min(len(ids[k]), s + WINDOW - edge)  # the middle is this window's; the first also owns its edge
-            hi = len(ids[k]) if s + WINDOW >= len(ids[k]) else hi
-            tags[k][lo:hi] = best[r, lo - s: hi - s]
-            sure[k][lo:hi] = post[r, lo - s: hi - s]
+    known = set(jobs)
+    while jobs:
+        touched = []
+        for a in range(0, len(jobs), 4096):
+            part = jobs[a: a + 4096]
+            block = np.full((len(part), WINDOW), 32)
+            for r, (k, s) in enumerate(part):
+                own = ids[k][s: s + WINDOW]
+                block[r, : len(own)] = own
+            best, post = model.decode(block)
+            for r, (k, s) in enumerate(part):
+                n = len(ids[k])
+                lo = s + edge if s else 0
+                # the middle is this window's; the first also owns its edge, the last unless a later one was decoded
+                hi = n if s + WINDOW >= n and (k, s + STEP) not in known else min(n, s + WINDOW - edge)
+                tags[k][lo:hi] = best[r, lo - s: hi - s]
+                sure[k][lo:hi] = post[r, lo - s: hi - s]
+                if lo < hi:  # a tagged run goes on in the neighbour window until it ends
+                    touched += [(k, s - STEP)] * bool(s and tags[k][lo]) + [(k, s + STEP)] * bool(hi < n and tags[k][hi - 1])
+        jobs = sorted(set(touched) - known)
+        known.update(jobs)
     out = []
     for k, text in enumerate(texts):
         found = []

@@ -162,6 +162,16 @@ def test_tagger_joins_windows_over_a_long_text():
     assert any(text[a:b].startswith("(499") or text[a:b].startswith("499") for k, a, b in found[0] if k == 3)
 
 
+def test_tagger_follows_spans_into_windows_without_marks(monkeypatch):
+    filler = "plain words without any marks " * 10
+    long_ = ["jane @ university-hospital . example . org", "margaret.thatcher.jones @ post . example . org"]
+    texts = [filler + "x" * k + " mail " + address + " now " + filler for address in long_ for k in range(32)]
+    got = pii.model_spans(texts, pii.trained())
+    monkeypatch.setattr(pii, "_windows", lambda ids: list(range(0, len(ids), pii.STEP)))
+    whole = pii.model_spans(texts, pii.trained())
+    assert got == whole and any(whole)
+
+
 def test_licences_are_named_and_plain_text_is_not(spark, odd, none):
     texts = ["some words here\nReleased under the MIT License.", licenses.TEMPLATES["apache"][1], "He lost his driving license.",
              "intro\n\n" + licenses.TEMPLATES["gpl"][0] + "\nend", None, "", "Licensed under CC BY-NC 4.0.", LONG]
