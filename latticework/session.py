@@ -22,6 +22,8 @@ _RUNTIME = {
     # few bytes can mean much work here (one atom meets hundreds of partners), so do not merge small tasks away
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows differ in size by orders of magnitude: batches for Python are bounded by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 
