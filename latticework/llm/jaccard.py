@@ -32,8 +32,8 @@ from .graph import components
 from .words import Words, distinct, mix64, shingles, slices
 
 WIDTH, SIMILAR = 4, (85, 100)
-# Members of a group, and queries that meet a group in one task.
-GROUP, QUERIES = 256, 1024
+# Members of a group, and queries that meet a group at once; their tokens count too, so that long texts make small groups.
+GROUP, QUERIES, TOKENS = 256, 1024, 1 << 18
 # The order of tokens rests on counts in a sketch of fixed width; any order is exact, a good one is fast.
 SKETCH, SKETCH_SLICES = 1 << 22, 64
 # Removed documents up to which their ids are broadcast (16 bytes each); beyond, texts are shuffled to them.
@@ -65,18 +65,18 @@ class _Sets:
 
 def _measure(batches: Iterator[pa.RecordBatch], width: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row per text (id, key, body, node, n), and at the end of the task its sketch of token counts in slices."""
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.int32)
     names = ["slice", "counts", "id", "key", "body", "node", "n"]
     for batch in batches:
         for part in slices(batch, "_text"):
             sets = _Sets(part.column("_text"), width)
             if len(sets.tokens):
-                counts += np.bincount((sets.tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                np.add.at(counts, (sets.tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             rows = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
                                               part.column("_id"), part.column("_key"), part.column("_body"),
                                               pa.array(sets.node), pa.array(sets.n.astype(np.int64))], names)
-    cut = counts.reshape(SKETCH_SLICES, -1).astype(np.int32)
+    cut = counts.reshape(SKETCH_SLICES, -1)
     used = np.flatnonzero(cut.any(axis=1))
     none = pa.nulls(len(used), pa.int64())
     yield pa.RecordBatch.from_arrays(
@@ -285,12 +285,16 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
                               "node long, n long, head long, tail long, prefix array<long>, marks array<long>")
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     # tasks that saw the same set each wrote it; one row of a node counts from here on
-    heads = staged(found.groupBy("node").agg(F.min("row").alias("row"), F.min("head").alias("head"), F.min("tail").alias("tail")), "heads")
+    heads = staged(found.groupBy("node").agg(F.min("row").alias("row"), F.min("head").alias("head"), F.min("tail").alias("tail"),
+                                              F.max("n").alias("n")), "heads")
 
-    # groups: nodes with the same smallest token, cut to GROUP members, each cut with the key's pivot
+    def pieces(size: Column, tokens: Column, most: int) -> Column:
+        return F.ceil(F.greatest(size / most, tokens / TOKENS)).cast("int")
+
+    # groups: nodes with the same smallest token, cut to GROUP members or TOKENS tokens, each cut with the key's pivot
     def groups(key: str) -> DataFrame:
-        sizes = heads.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where(F.col("size") > 1)
-        rows = heads.join(sizes, key).withColumn("cuts", F.ceil(F.col("size") / GROUP).cast("int"))
+        sizes = heads.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("node").alias("pivot"))
+        rows = heads.join(sizes.where(F.col("size") > 1), key).withColumn("cuts", pieces(F.col("size"), F.col("weight"), GROUP))
         own_cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
         rows = rows.select("node", key, "pivot", F.explode(F.when(
             F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own_cut))).alias("cut"))
@@ -333,7 +337,8 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
     many = pairs.join(members.where(F.col("unit") != F.col("node")).select("unit").distinct(), "unit", "left_semi")
     pairs = staged(alone.unionByName(many.select("q", "q_part", "unit")), "open")
 
-    blocks = pairs.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    weighed = pairs.join(heads.select(F.col("node").alias("q"), "n"), "q")
+    blocks = weighed.groupBy("unit").agg(pieces(F.count(F.lit(1)), F.sum("n"), QUERIES).alias("blocks"))
     asked = (members.select("node", "part", "unit").join(blocks, "unit")
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("node", "part", "unit", "block", F.lit(False).alias("asks")))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Text handled at once inside a task; a longer single text is one slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -21,17 +21,26 @@ _LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for slot, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[slot] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+# Bytes hashed at once; tables of powers are no longer than this unless one word is.
+_BLOCK = 1 << 18
+
+
+def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each word, the same wherever the word stands; bytes are taken block by block."""
+    out = np.empty(len(starts), np.uint64)
+    power = inverse = np.ones(1, np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(int(np.searchsorted(ends, starts[a] + _BLOCK, "right")), a + 1)
+        low, size = starts[a], int(ends[b - 1] - starts[a])
+        if len(power) <= size:
+            power, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)])
+                              for x in (_BASE, _BASE_INVERSE))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((buf[low: low + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
+        out[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * inverse[starts[a:b] - low]
+        a = b
+    return mix64(out)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -91,10 +100,7 @@ class Words:
         self.starts = np.flatnonzero(head)
         self.ends = np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        power, inverse = _power_tables(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        self.hashes = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self.hashes = _hash_words(self.buf, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
