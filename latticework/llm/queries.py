@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import joined_safely
 from ..session import tune
 from .chat import format_chats, read_back, text_parts
 from .decontaminate import decontaminate
@@ -18,6 +19,7 @@ from .pii import KINDS as PERSONAL_KINDS
 from .pii import find_personal_data
 from .ppm import lm_scores
 from .quality import assess
+from .repair import damage, digests, repair
 from .secrets import BASE as SECRET_KINDS
 from .secrets import find_secrets, span_text
 from .sharding import shard
@@ -131,6 +133,75 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns, reports = repair(damage(rows))
+    found = joined_safely(rows.select("conv_id").distinct(), reports, ["conv_id"], "left")
+    found = joined_safely(found, digests(turns), ["conv_id"], "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# The same repair as a shortest path over (row, role state): each step keeps the best path to each of four states.
+LLM_ORACLES["op12_conversation_repair"] = """
+WITH RECURSIVE
+tab AS (SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''),
+             x -> CAST(ascii(x) AS BIGINT))), (c, b) -> xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f
+           FROM keyed, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hashed WHERE f <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM hashed WHERE f = 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+told AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM placed),
+m AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault FROM told),
+ins(st, st1, c1, a1, s1) AS (VALUES
+  ('0', '0', 0, '', ''), ('S', 'S', 0, '', ''), ('U', 'U', 0, '', ''), ('A', 'A', 0, '', ''),
+  ('0', 'U', 2, 'I', chr(10) || 'user:'), ('S', 'U', 2, 'I', chr(10) || 'user:'), ('A', 'U', 2, 'I', chr(10) || 'user:'),
+  ('U', 'A', 2, 'I', chr(10) || 'assistant:'), ('0', 'A', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('S', 'A', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+edit(st1, r, st2, a2, c2, said) AS (VALUES
+  ('0', 's', 'S', 'K', 0, NULL), ('0', 'u', 'U', 'K', 0, NULL), ('S', 'u', 'U', 'K', 0, NULL), ('U', 'a', 'A', 'K', 0, NULL),
+  ('A', 'u', 'U', 'K', 0, NULL), ('0', NULL, 'U', 'R', 2, 'user'), ('S', NULL, 'U', 'R', 2, 'user'),
+  ('A', NULL, 'U', 'R', 2, 'user'), ('U', NULL, 'A', 'R', 2, 'assistant'), ('0', NULL, '0', 'D', 3, NULL),
+  ('S', NULL, 'S', 'D', 3, NULL), ('U', NULL, 'U', 'D', 3, NULL), ('A', NULL, 'A', 'D', 3, NULL)),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '0' AS st, 0 AS cost, '' AS audit, '' AS said FROM (SELECT DISTINCT conv_id FROM m)
+  UNION ALL
+  SELECT conv_id, pos, st, cost, audit, said FROM (
+    SELECT n.*, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS best FROM (
+      SELECT p.conv_id, m.pos, e.st2 AS st, p.cost + i.c1 + e.c2 + CASE WHEN m.fault = 't' AND e.a2 <> 'D' THEN 1 ELSE 0 END AS cost,
+             p.audit || i.a1 || e.a2 AS audit,
+             p.said || i.s1 || CASE WHEN e.a2 = 'D' THEN '' ELSE chr(10) || coalesce(e.said, m.role) || ':' || m.text END AS said
+      FROM path p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.pos = p.pos + 1
+      JOIN ins i ON i.st = p.st JOIN edit e ON e.st1 = i.st1
+      WHERE (e.a2 = 'D' OR m.fault NOT IN ('b', 'd')) AND (e.r IS NULL OR e.r = m.r)) n) WHERE best = 1),
+stats AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                 count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM m GROUP BY conv_id),
+ended AS (
+  SELECT p.conv_id, p.cost + i.c1 AS cost, p.audit || i.a1 AS audit, p.said || i.s1 AS said,
+         row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + i.c1, p.audit || i.a1) AS best
+  FROM path p JOIN stats s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.pos
+  JOIN ins i ON i.st = p.st WHERE i.st1 IN ('0', 'A'))
+SELECT o.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(coalesce(e.cost, 0) AS BIGINT) AS cost,
+       coalesce(e.audit, '') AS audit, sha256(coalesce(substr(e.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM ended WHERE best = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
