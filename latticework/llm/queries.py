@@ -148,12 +148,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same repair as a shortest path over (row, role state): each step keeps the best path to each of four states.
 LLM_ORACLES["op12_conversation_repair"] = """
 WITH RECURSIVE
-tab AS (SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-          (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
                  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
 hashed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''),
-             x -> CAST(ascii(x) AS BIGINT))), (c, b) -> xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f
+             lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f
            FROM keyed, tab),
 damaged AS (
   SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
