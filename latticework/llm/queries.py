@@ -23,6 +23,7 @@ from .repair import damage, digests, repair
 from .secrets import BASE as SECRET_KINDS
 from .secrets import find_secrets, span_text
 from .sharding import shard
+from .whitening import fit, whiten
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -133,6 +134,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit(rows)
+    found = whiten(rows, model, keep=["vec_id"])
+    n, error, shares = (0, 0.0, []) if model is None else (model.n, model.identity_error, (model.values / model.trace).tolist())
+    return found.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*[F.lit(float(v)) for v in shares]).cast("array<double>"), F.col("k")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"))
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
