@@ -17,6 +17,7 @@ from .licenses import scan as scan_licences
 from .mixing import mix
 from .pii import KINDS as PERSONAL_KINDS
 from .pii import find_personal_data
+from .positive import score_quality
 from .ppm import lm_scores
 from .quality import assess
 from .repair import damage, digests, repair
@@ -215,6 +216,11 @@ LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN (SELECT * FROM ended WHERE best = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+@_query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -7,6 +7,7 @@ character, so the byte view equals the character view.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,24 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 18
 
 
+def _powers(size: int) -> list[np.ndarray]:
+    return [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)])
+            for x in (_BASE, _BASE_INVERSE)]
+
+
+_usual_powers = cache(lambda: _powers(_BLOCK))
+
+
 def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of each word, the same wherever the word stands; bytes are taken block by block."""
     out = np.empty(len(starts), np.uint64)
-    power = inverse = np.ones(1, np.uint64)
+    power, inverse = _usual_powers()
     a = 0
     while a < len(starts):
         b = max(int(np.searchsorted(ends, starts[a] + _BLOCK, "right")), a + 1)
         low, size = starts[a], int(ends[b - 1] - starts[a])
         if len(power) <= size:
-            power, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)])
-                              for x in (_BASE, _BASE_INVERSE))
+            power, inverse = _powers(size)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum((buf[low: low + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
         out[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * inverse[starts[a:b] - low]
