@@ -13,26 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 # Rows one task may sort for one group. At most total_rows / HOT_ROWS groups can exceed it, so the table
 # of such groups has one row per four million input rows: about 16 MB for 10^12 rows, safe to broadcast.
 HOT_ROWS = 4_000_000
+# Rows sampled for each part that a hot group is cut into.
+SAMPLE = 16
 # Buckets used to locate an order statistic.
 QUANTILE_BUCKETS = 256
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """A column as a double that keeps its order; timestamps become microseconds."""
-    if df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
-
-
-def hot_groups(df: DataFrame, keys: list[str], order: str | None = None,
+def hot_groups(df: DataFrame, keys: list[str], order: list[str] | None = None,
                hot_rows: int | None = None) -> DataFrame | None:
-    """Groups above the limit, with borders that cut them by measured quantiles of `order`, or None where there are none.
+    """Groups above the limit, with borders that cut them into even parts of the sort by `order`, or None where there are none.
 
-    Runs one map-side-combined count now, so that ordinary data gets the short plan; borders are measured for the
-    groups above the limit only.
+    Runs one map-side-combined count now, so that ordinary data gets the short plan. Borders are whole tuples of the
+    order columns, taken at even places of a sorted sample (all rows of a small group), so ties in the first columns
+    are cut by the later ones. They are written once, since the sample is drawn at random.
     """
     limit = hot_rows or HOT_ROWS
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
@@ -40,12 +38,12 @@ def hot_groups(df: DataFrame, keys: list[str], order: str | None = None,
         return None
     if order is None:
         return hot
-    large = joined_safely(df.select(*keys, _number(df, order).alias("_o")), F.broadcast(hot), keys, "inner")
-    most = hot.agg(F.max("_n")).first()[0]
-    cuts = -(-most // limit)
-    points = F.array(*[F.lit(i / cuts) for i in range(1, cuts)]) if cuts > 1 else F.array(F.lit(0.5))
-    borders = large.groupBy(*keys).agg(F.percentile_approx("_o", points, 10 * cuts + 1000).alias("_borders"))
-    return borders.withColumn("_borders", F.coalesce("_borders", F.array().cast("array<double>")))
+    cuts = F.ceil(F.col("_n") / limit).cast("int")
+    large = joined_safely(df.select(*keys, F.struct(*order).alias("_o")), F.broadcast(hot), keys, "inner")
+    sample = large.where(F.rand(11) * F.col("_n") < SAMPLE * cuts)
+    listed = sample.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list("_o")).alias("_s"))
+    places = F.transform(F.sequence(F.lit(1), cuts - 1), lambda i: F.get("_s", F.floor(i * F.size("_s") / cuts).cast("int")))
+    return staged(listed.select(*keys, F.array_distinct(places).alias("_borders")), "borders")
 
 
 def joined_safely(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -58,23 +56,24 @@ def joined_safely(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(other, on, how).drop(*[f"_safe_{k}" for k in keys])
 
 
-def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _cut(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add `_bucket`, increasing with `order` (nulls first, as in a sort); 0 for groups that are not hot."""
-    value = _number(df, order)
-    above = F.size(F.filter("_borders", lambda b: b < value))
-    bucket = F.when(F.col("_borders").isNull() | value.isNull(), F.lit(0)).otherwise(above)
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    # how many borders are at most the row's tuple, by bisection
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size("_borders")) & (F.get("_borders", at + step - 1) <= F.struct(*order)), at + step).otherwise(at))
     cut = joined_safely(df, F.broadcast(hot), keys, "left")
-    return cut.withColumn("_bucket", bucket.cast("long")).drop("_borders")
+    return cut.withColumn("_bucket", F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(bucket).cast("long")).drop("_borders")
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str,
               hot_rows: int | None = None) -> DataFrame:
-    """0-based position of each row inside its group; the first order column must be numeric or time."""
-    hot = hot_groups(df, keys, order[0], hot_rows)
+    """0-based position of each row inside its group; rows alike in all order columns stay in one task."""
+    hot = hot_groups(df, keys, order, hot_rows)
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(whole) - 1).cast("long"))
-    cut = _cut(df, hot, keys, order[0])
+    cut = _cut(df, hot, keys, order)
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     numbered = cut.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
@@ -104,7 +103,7 @@ def runs(df: DataFrame, keys: list[str], value: str, order: str | list[str], hot
     """Runs of equal consecutive values: (keys, value, run_start, run_length); later order columns decide ties."""
     order = [order] if isinstance(order, str) else order
     slim = df.select(*keys, value, *order)
-    hot = hot_groups(slim, keys, order[0], hot_rows)
+    hot = hot_groups(slim, keys, order, hot_rows)
     if hot is None:
         whole = W.partitionBy(*keys).orderBy(*order)
         new = ~F.lag(value).over(whole).eqNullSafe(F.col(value)) | (F.row_number().over(whole) == 1)
@@ -112,7 +111,7 @@ def runs(df: DataFrame, keys: list[str], value: str, order: str | list[str], hot
                     .withColumn("_run", F.sum("_new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
                     .groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(order[0]).alias("run_start"),
                                                 F.count(F.lit(1)).alias("run_length")).drop("_run"))
-    cut = _cut(slim, hot, keys, order[0])
+    cut = _cut(slim, hot, keys, order)
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     starts = ~F.lag(value).over(inside).eqNullSafe(F.col(value)) | (F.row_number().over(inside) == 1)
     islands = (cut.withColumn("_starts", starts.cast("long"))

@@ -12,23 +12,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
+from ..functions.ordered import row_index
 from ..operators.gates import drop_virtual
 from ..operators.geometry import relabel_types, wrap_positions
+from .jsonscan import json_entries
 
 SITE = "STRUCT<species: ARRAY<STRUCT<element: STRING, occu: DOUBLE>>, xyz: ARRAY<DOUBLE>>"
 FRAME = (f"STRUCT<mp_id: STRING, structure: STRUCT<charge: DOUBLE, lattice: STRUCT<matrix: ARRAY<ARRAY<DOUBLE>>>, "
          f"sites: ARRAY<{SITE}>>>")
 
 
-def read_nested_json(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(frames, sites) of JSON lines {material: {frame: {structure: ...}}}, one or more materials per line.
+def read_nested_json(spark: SparkSession, path: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(frames, sites) of objects {material: {frame: {structure: ...}}}: one object of any size per file, or JSON lines.
 
-    frames: structure_id, material_id, frame_key, frame_index (file order), inner_id, charge, cell, pbc, n_atoms.
-    sites: one row per site and species entry, ordered by pos. A malformed line fails the query.
+    frames: structure_id, material_id, frame_key, frame_index (place in the material, in order of files and places in them),
+    inner_id, charge, cell, pbc, n_atoms. sites: one row per site and species entry, ordered by pos. A null frame has
+    null fields and no sites. A malformed file fails the query.
     """
-    parsed = spark.read.text(path).select(F.from_json("value", f"MAP<STRING, MAP<STRING, {FRAME}>>", {"mode": "FAILFAST"}).alias("m"))
-    materials = parsed.select(F.explode("m").alias("material_id", "frames"))
-    frames = materials.select("material_id", F.posexplode("frames").alias("frame_index", "frame_key", "f")).select(
+    entries = json_entries(spark, path, recursive)
+    parsed = entries.select("file", "block", "k", F.from_json("json", f"MAP<STRING, MAP<STRING, {FRAME}>>", {"mode": "FAILFAST"}).alias("m"))
+    materials = parsed.select("file", "block", "k", F.explode("m").alias("material_id", "frames"))
+    frames = materials.select("file", "block", "k", "material_id", F.posexplode("frames").alias("place", "frame_key", "f"))
+    frames = row_index(frames, ["material_id"], ["file", "block", "k", "place"], "frame_index").select(
         F.concat_ws("#", "material_id", "frame_key").alias("structure_id"), "material_id", "frame_key", "frame_index",
         F.col("f.mp_id").alias("inner_id"), F.col("f.structure.charge").alias("charge"),
         F.col("f.structure.lattice.matrix").alias("cell"), F.lit(True).alias("pbc"),
@@ -48,7 +53,8 @@ def first_species(sites: DataFrame) -> DataFrame:
 
 def frame_keys(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(structure_id, keys): which keys every frame carries, for completeness reports."""
-    parsed = spark.read.text(path).select(F.from_json("value", "MAP<STRING, MAP<STRING, MAP<STRING, STRING>>>").alias("m"))
+    kind = "MAP<STRING, MAP<STRING, MAP<STRING, STRING>>>"
+    parsed = json_entries(spark, path).select(F.from_json("json", kind, {"mode": "FAILFAST"}).alias("m"))
     return parsed.select(F.explode("m").alias("material_id", "frames")).select(
         "material_id", F.explode("frames").alias("frame_key", "f")).select(
         F.concat_ws("#", "material_id", "frame_key").alias("structure_id"), F.map_keys("f").alias("keys"))

@@ -82,3 +82,22 @@ def test_any_limit_gives_the_same_result(spark, hot_rows):
     assert found == sorted(map(str, O.runs(df, ["k"], "v", ["o", "id"]).collect()))
     middle = {r.k: r.b for r in O.quantiles(df, ["k"], "o", {"b": .5}, hot_rows=hot_rows).collect()}
     assert middle == {r.k: r.b for r in O.quantiles(df, ["k"], "o", {"b": .5}).collect()} and None in middle
+
+
+def test_ties_in_the_first_columns_are_cut_by_later_ones(spark):
+    rows = [("a", 7.0, f"t{k:02}", k % 2) for k in range(12)] + [("b", 1.0, "x", 0)]
+    df = spark.createDataFrame(rows, "k string, o double, t string, v int").repartition(3)
+    hot = O.hot_groups(df, ["k"], ["o", "t"], 3)
+    buckets = O._cut(df, hot, ["k"], ["o", "t"]).groupBy("k", "_bucket").count().collect()
+    assert sorted((r.k, r._bucket, r["count"]) for r in buckets) == [("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("a", 3, 3), ("b", 0, 1)]
+    got = {(r.k, r.t): r.r for r in O.row_index(df, ["k"], ["o", "t"], "r", 3).collect()}
+    assert got == {(r.k, r.t): r.r for r in O.row_index(df, ["k"], ["o", "t"], "r").collect()}
+
+
+def test_many_equal_rows_in_a_hot_group(spark):
+    rows = [(1, k % 5, k // 400) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k int, o int, v int").repartition(5)
+    got = sorted(r.r for r in O.row_index(df, ["k"], ["o", "v"], "r", 150).collect())
+    assert got == list(range(4000))
+    firsts = {r.o: r.f for r in O.row_index(df, ["k"], ["o", "v"], "r", 150).groupBy("o").agg(F.min("r").alias("f")).collect()}
+    assert firsts == {o: 800 * o for o in range(5)}

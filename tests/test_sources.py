@@ -175,3 +175,72 @@ def test_feature_store(spark, tmp_path):
         store.read_features(spark, [str(tmp_path / "missing")])
     store.save_stats(records.limit(3), str(tmp_path / "stats"))
     assert store.load_stats(spark, str(tmp_path / "stats")).count() == 3
+
+
+def _corpus(rng, n):
+    """{material: {frame: structure}} with braces, quotes and escapes in strings, and odd entries."""
+    out = {}
+    for m in range(n):
+        frames = {}
+        for f in range(int(rng.integers(0, 6))):
+            sites = [{"species": [{"element": "O", "occu": 1}], "xyz": [float(k), float(f), float(m)], "label": 'a}"{]'}
+                     for k in range(int(rng.integers(1, 4)))]
+            frames[f'f"{f}}}'] = {"mp_id": f"m{m}", "note": "}}{{\\" if f % 2 else 'end\\"}', "nested": {"a": {"b": {}}, "c": [{}, [1, {"d": 2}]]},
+                                  "structure": {"charge": None, "lattice": {"matrix": [[1, 0, 0], [0, 2, 0], [0, 0, 3]]}, "sites": sites}}
+        out[f"m{m}\\{{" if m % 3 == 0 else f"m{m}"] = frames
+    return out
+
+
+def _expected_frames(corpus):
+    return sorted((m, f, k, v["mp_id"], len(v["structure"]["sites"])) for m, frames in corpus.items() for k, (f, v) in enumerate(frames.items()))
+
+
+@pytest.mark.parametrize("layout", ["compact", "indented", "lines", "unended"])
+@pytest.mark.parametrize("split", ["900", "100000000"])
+def test_one_json_object_over_many_splits(spark, tmp_path, layout, split):
+    corpus = _corpus(np.random.default_rng(5), 9)
+    written = {"compact": json.dumps(corpus, separators=(",", ":")), "indented": json.dumps(corpus, indent=1) + "\n",
+               "lines": "".join(json.dumps({m: {f: v}}) + "\n" for m, frames in corpus.items() for f, v in frames.items()),
+               "unended": json.dumps(corpus) + " \n "}[layout]
+    (tmp_path / "c.json").write_text(written)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        frames, sites = nested.read_nested_json(spark, str(tmp_path))
+        got = sorted((r.material_id, r.frame_key, r.frame_index, r.inner_id, r.n_atoms) for r in frames.collect())
+        assert got == _expected_frames(corpus)
+        assert sites.count() == sum(r[-1] for r in got)
+        assert nested.frame_keys(spark, str(tmp_path)).count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_scans_join_blocks_by_shuffle_beyond_the_limit(spark, tmp_path, monkeypatch):
+    from latticework.sources import jsonscan
+    monkeypatch.setattr(jsonscan, "BROADCAST_BLOCKS", 3)
+    corpus = _corpus(np.random.default_rng(6), 8)
+    (tmp_path / "c.json").write_text(json.dumps(corpus))
+    with gzip.open(tmp_path / "d.json.gz", "wt") as out:
+        out.write(json.dumps({"z": {"f": None, "g": corpus["m1"].get('f"0}')}}) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        frames, _ = nested.read_nested_json(spark, str(tmp_path))
+        got = sorted((r.material_id, r.frame_key, r.frame_index, r.inner_id, r.n_atoms) for r in frames.where("material_id != 'z'").collect())
+        assert got == _expected_frames(corpus)
+        assert [r.frame_key for r in frames.where("material_id = 'z'").orderBy("frame_index").collect()] == ["f", "g"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("content", ['{"m": {"f": {"structure": {}}}', '{"m": {"f": {"structure": {}}}\n', '{"m": {"f": {"a": "x}}}', '{"m": {"f": {"a": oops}}}'])
+def test_malformed_json_objects_fail(spark, tmp_path, content):
+    (tmp_path / "c.json").write_text(content)
+    with pytest.raises(Exception, match="not a complete JSON object|MALFORMED|malformed"):
+        nested.read_nested_json(spark, str(tmp_path))[0].collect()
+
+
+def test_empty_json_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text("")
+    (tmp_path / "b.json").write_text("{}")
+    (tmp_path / "c.json").write_text('{"m": {}}\n\n')
+    frames, sites = nested.read_nested_json(spark, str(tmp_path))
+    assert frames.count() == 0 and sites.count() == 0
