@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -9,6 +10,9 @@ from ..sources import nested, text
 from .base import query, table
 from .base import typed_atoms as typed
 
+# Frames that one JSON object of the checks may hold.
+FRAMES_PER_FILE = 2_000_000
+
 _ATOMS = "SELECT structure_id, {extra}label, round(xi / 100.0, 4) AS x, round(yi / 100.0, 4) AS y, round(zi / 100.0, 4) AS z FROM {view}"
 
 
@@ -105,16 +109,8 @@ def ingest_poscar(spark, sf_dir):
            count(*) FILTER (WHERE event_type = 'error') AS n_mismatch, round(sum(value), 4) AS sum_x
     FROM (SELECT * FROM events) e GROUP BY user_id""")
 def ingest_nested_json(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    site = ("transform(sequence(0, CAST(event_id % 5 AS INT)), k -> named_struct('species', array(named_struct('element', "
-            "if(k = 0, 'Li', 'O'), 'occu', 1D)), 'xyz', array(if(k = 0, value, 0D), CAST(k AS DOUBLE), 0D)))")
-    frames = events.select(
-        F.concat(F.lit("mp-"), F.col("user_id").cast("string")).alias("m"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("f"),
-        F.expr("named_struct('mp_id', if(event_type = 'error', 'other', concat('mp-', CAST(user_id AS STRING))), 'structure', "
-               "named_struct('charge', CAST(null AS DOUBLE), 'lattice', named_struct('matrix', array(array(9D,0D,0D), array(0D,9D,0D), array(0D,0D,9D))), "
-               f"'sites', {site}))").alias("v"))
     # one line per frame: the same material may appear on several lines
-    lines = frames.select(F.to_json(F.create_map("m", F.create_map("f", "v"))).alias("value"))
+    lines = event_frames(spark, sf_dir).select(F.to_json(F.create_map("m", F.create_map("f", "v"))).alias("value"))
     path = scratch_path(spark, "nested")
     lines.write.text(path)
     found, sites = nested.read_nested_json(spark, path)
@@ -124,6 +120,45 @@ def ingest_nested_json(spark, sf_dir):
         F.count_if(F.col("inner_id") != F.col("material_id")).alias("n_mismatch"), F.round(F.sum("x"), 4).alias("sum_x"))
 
 
+# every file is one JSON object without a line break, its materials and frames in order
+@query("ingest_json_object", "", """
+    SELECT 'mp-' || user_id || '#f' || event_id AS structure_id, 'mp-' || user_id AS material_id, 'f' || event_id AS frame_key,
+           row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index,
+           CASE WHEN event_type = 'error' THEN 'other' ELSE 'mp-' || user_id END AS inner_id, event_id % 5 + 1 AS n_atoms,
+           value AS first_x, CAST(event_id % 5 AS DOUBLE) AS last_y
+    FROM events""")
+def ingest_json_object(spark, sf_dir):
+    frames = event_frames(spark, sf_dir)
+    part = F.pmod(F.xxhash64("m"), F.lit(1 + frames.count() // FRAMES_PER_FILE)).alias("part")
+    frames = frames.select(part, "m", "at", F.concat(F.lit('"'), "f", F.lit('"')).alias("f"), F.to_json("v").alias("v"))
+    inside, file = W.partitionBy("part", "m").orderBy("at"), W.partitionBy("part").orderBy("m", "at")
+    first, last = F.lag("at").over(inside).isNull(), F.lead("at").over(inside).isNull()
+    text = F.concat(F.when(F.lag("at").over(file).isNull(), "{").otherwise(","),
+                    F.when(first, F.concat(F.lit('"'), "m", F.lit('":{'))).otherwise(""), "f", F.lit(":"), "v",
+                    F.when(last, "}").otherwise(""), F.when(F.lead("at").over(file).isNull(), "}").otherwise(""))
+    path = scratch_path(spark, "object")
+    lines = frames.select("part", "m", "at", text.alias("value")).repartition("part").sortWithinPartitions("part", "m", "at")
+    lines.select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+    found, sites = nested.read_nested_json(spark, path, recursive=True)
+    ends = sites.groupBy("structure_id").agg(F.min_by("x", "atom_id").alias("first_x"), F.max("y").alias("last_y"))
+    return found.join(ends, "structure_id").select(
+        "structure_id", "material_id", "frame_key", F.col("frame_index").cast("long").alias("frame_index"), "inner_id", "n_atoms",
+        "first_x", "last_y")
+
+
+def event_frames(spark, sf_dir):
+    """Events as frames (m, f, at, v): material, frame key, order in the material, frame."""
+    events = table(spark, sf_dir, "events")
+    site = ("transform(sequence(0, CAST(event_id % 5 AS INT)), k -> named_struct('species', array(named_struct('element', "
+            "if(k = 0, 'Li', 'O'), 'occu', 1D)), 'xyz', array(if(k = 0, value, 0D), CAST(k AS DOUBLE), 0D)))")
+    return events.select(
+        F.concat(F.lit("mp-"), F.col("user_id").cast("string")).alias("m"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("f"),
+        F.col("event_id").alias("at"),
+        F.expr("named_struct('mp_id', if(event_type = 'error', 'other', concat('mp-', CAST(user_id AS STRING))), 'structure', "
+               "named_struct('charge', CAST(null AS DOUBLE), 'lattice', named_struct('matrix', array(array(9D,0D,0D), array(0D,9D,0D), array(0D,0D,9D))), "
+               f"'sites', {site}))").alias("v"))
+
+
 @query("ingest_sites", "", """
     SELECT CAST(l_orderkey AS VARCHAR) AS structure_id, count(*) AS n_atoms, round(sum(l_quantity), 4) AS sum_x,
            round(min(1 - l_discount), 4) AS min_occupancy FROM lineitem GROUP BY l_orderkey""")
