@@ -24,9 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import staged
-
-# Tables of one row per block are broadcast up to this many rows (some 200 bytes each) and joined by shuffle beyond.
-BROADCAST_BLOCKS = 200_000
+from .blocks import by_unit, looked_up, pieces, with_state
 
 _STEP = np.zeros(256, np.int64)
 _STEP[[ord("{"), ord("[")]] = 1
@@ -37,14 +35,6 @@ _STRING = r'"(?:[^"\\]|\\.)*"'
 _OUTER_KEY = rf'^[\s,{{]*(?:{_STRING}\s*:\s*[^{{"\[,]*,\s*)*({_STRING})\s*:\s*\{{'
 
 
-def _pieces(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
-    """(file, block, size, unit, ord, value): text between closing braces, in reading order within a block."""
-    lines = spark.read.option("lineSep", "}").option("recursiveFileLookup", str(recursive).lower()).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                         F.col("_metadata.file_size").alias("size"), "value", F.monotonically_increasing_id().alias("ord"))
-    return lines.withColumn("unit", F.xxhash64("file", "block"))
-
-
 def _scan(text: bytes, inside: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(in a string or not, nesting) behind every byte."""
     if b"\\" in text:
@@ -54,17 +44,10 @@ def _scan(text: bytes, inside: int, depth: int) -> tuple[np.ndarray, np.ndarray]
     return state, depth + np.cumsum(np.where(state == 0, _STEP[raw], 0))
 
 
-def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch, bytes]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch, bytes]]:
     """(first of its unit, rows, their text without the last closing brace)."""
-    last = None
-    for batch in batches:
-        unit = batch.column("unit").to_numpy()
-        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a < b:
-                text = "}".join(batch.column("value").slice(a, b - a).to_pylist()).encode()
-                yield unit[a] != last, batch.slice(a, b - a), text
-                last = unit[a]
+    for new, rows in by_unit(batches):
+        yield new, rows, "}".join(rows.column("value").to_pylist()).encode()
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +66,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add(b"}")
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*key, *sums)], names)
 
-    for new, rows, text in _by_unit(batches):
+    for new, rows, text in _texts(batches):
         if new:
             if key:
                 yield row()
@@ -154,7 +137,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in ready], t) for i, t in enumerate(types)], names)
 
-    for new, rows, text in _by_unit(batches):
+    for new, rows, text in _texts(batches):
         if new:
             if at:
                 close()
@@ -173,24 +156,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def _looked_up(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Join with a table of one row per block, broadcast where it is small."""
-    return rows.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, keys)
-
-
 def json_entries(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(file, block, k, json): objects {outer: {inner: value}} which together hold all inner entries, one or few each.
 
     (block, k) is the order in a file. Nesting and strings alone are looked at; whoever parses `json` finds other faults.
     A file whose braces do not close fails the query.
     """
-    pieces = _pieces(spark, path, recursive)
-    states = staged(_states(pieces.select("file", "block", "size", "unit", "value").mapInArrow(
+    rows = pieces(spark, path, recursive, "}")
+    states = staged(_states(rows.select("file", "block", "size", "unit", "value").mapInArrow(
         _summaries, "file string, block long, size long, turn long, outside long, inside long, bytes long")), "blocks")
-    placed = _looked_up(pieces.select("unit", "ord", "value"), states, ["unit"])
-    if states.count() > BROADCAST_BLOCKS:  # the join has lost the reading order
-        placed = placed.repartition("unit").sortWithinPartitions("unit", "ord")
-    parts = staged(placed.mapInArrow(
+    parts = staged(with_state(rows.select("unit", "ord", "value"), states).mapInArrow(
         _cut, "file string, block long, k long, kind string, text string, start int, end int, key string"), "entries")
 
     # entries across borders: a tail, blocks without an end, and the head that ends them
@@ -216,8 +191,8 @@ def json_entries(spark: SparkSession, path: str | list[str], recursive: bool = F
 
     whole = parts.where("kind = 'whole'").drop("kind")
     sure, unsure = whole.where("key IS NOT NULL"), whole.where("key IS NULL")
-    unsure = _looked_up(unsure.drop("key"), known, ["file", "block"]).withColumn("key", F.col("after_head"))
-    glued = _looked_up(glued.withColumnRenamed("key", "own"), known, ["file", "block"]).withColumn("key", F.coalesce("own", "before"))
+    unsure = looked_up(unsure.drop("key"), known, ["file", "block"]).withColumn("key", F.col("after_head"))
+    glued = looked_up(glued.withColumnRenamed("key", "own"), known, ["file", "block"]).withColumn("key", F.coalesce("own", "before"))
     columns = ["file", "block", "k", "text", "start", "end", "key"]
     entries = sure.select(columns).unionByName(unsure.select(columns)).unionByName(glued.select(columns))
     return entries.select("file", "block", "k", _object(F.col("text"), F.col("start"), F.col("end"), F.col("key")).alias("json"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.operators import corpus as C
 from latticework.operators import gates as Q
 from latticework.operators import geometry as G
-from latticework.sources import nested, store, text
+from latticework.sources import blocks, nested, store, text
 
 HEADER = """made for a test
 
@@ -73,7 +73,7 @@ def test_trajectory_split_over_many_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
         structures, atoms = text.read_extxyz(spark, str(tmp_path / "t.xyz"))
-        assert text.ordered_lines(spark, str(tmp_path / "t.xyz")).select("block").distinct().count() > 5
+        assert blocks.pieces(spark, str(tmp_path / "t.xyz")).select("block").distinct().count() > 5
         labelled = {r.structure_id: r.number for r in C.parse_info(structures).collect()}
         got = {}
         for r in atoms.collect():
@@ -215,8 +215,7 @@ def test_one_json_object_over_many_splits(spark, tmp_path, layout, split):
 
 
 def test_json_scans_join_blocks_by_shuffle_beyond_the_limit(spark, tmp_path, monkeypatch):
-    from latticework.sources import jsonscan
-    monkeypatch.setattr(jsonscan, "BROADCAST_BLOCKS", 3)
+    monkeypatch.setattr(blocks, "BROADCAST_BLOCKS", 3)
     corpus = _corpus(np.random.default_rng(6), 8)
     (tmp_path / "c.json").write_text(json.dumps(corpus))
     with gzip.open(tmp_path / "d.json.gz", "wt") as out:
@@ -244,3 +243,55 @@ def test_empty_json_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"m": {}}\n\n')
     frames, sites = nested.read_nested_json(spark, str(tmp_path))
     assert frames.count() == 0 and sites.count() == 0
+
+
+@pytest.mark.parametrize("split", ["60", "700", "100000000"])
+def test_counts_decide_the_frames(spark, tmp_path, split):
+    """Comments that are numbers, blank lines between frames, empty frames, other layouts, several files."""
+    rng = np.random.default_rng(3)
+    want = []
+    for name in ("a.xyz", "b.xyz"):
+        with open(tmp_path / name, "w") as out:
+            for k in range(25):
+                n = int(rng.integers(0, 6))
+                info = ["7", "3", f'Properties=pos:R:3:tag:I:1:species:S:1 pbc="T F T" db_label=x_{k}', ""][k % 4]
+                out.write(f" {n} \n{info}\n")
+                points = rng.integers(0, 99, (n, 3)).tolist()
+                out.writelines(f"{p[0]} {p[1]} {p[2]} 5 E{i}\n" if k % 4 == 2 else f"E{i} {p[0]} {p[1]} {p[2]}\n" for i, p in enumerate(points))
+                out.write("\n" * (k % 3))
+                want.append((name, k, info, n, [(i, f"E{i}", *map(float, p)) for i, p in enumerate(points)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        structures, atoms = text.read_extxyz(spark, str(tmp_path))
+        rows = {}
+        for r in atoms.collect():
+            rows.setdefault(r.structure_id, []).append(tuple(r)[1:])
+        got, place = [], {}
+        for r in sorted(structures.collect(), key=lambda r: (r.file, r.frame_start)):
+            name = r.file.rsplit("/", 1)[1]
+            got.append((name, place.get(name, 0), r.info, r.n_atoms, sorted(rows.get(r.structure_id, []))))
+            place[name] = place.get(name, 0) + 1
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("content", ["2\nx\nH 0 0 0\n", "1\nx\nH 0 0 0\nH 1 1 1\n", "x\n1\n", "3\nx\nH 0 0 0\n1\ny\nO 0 0 0\n"])
+def test_trajectories_with_wrong_counts_fail(spark, tmp_path, content):
+    (tmp_path / "t.xyz").write_text(content)
+    with pytest.raises(Exception, match="wrong number of atoms"):
+        text.read_extxyz(spark, str(tmp_path / "t.xyz"))[1].collect()
+
+
+def test_data_file_over_many_splits(spark, tmp_path):
+    rows = [(i, 1 + i % 2, i * .001, .5, .25) for i in range(300)]
+    body = "\n".join("{} {} {} {} {}".format(*r) for r in rows)
+    for name in "ab":
+        (tmp_path / f"{name}.data").write_text("Atoms of a title\n" + HEADER.format(n=300).split("\n", 1)[1] + f"Atoms # atomic\n\n{body}\n\nBonds\n\n1 9 9 9 9\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        structures, atoms, masses = text.read_lammps(spark, str(tmp_path))
+        assert atoms.count() == 600 and masses.count() == 4 and structures.count() == 2
+        assert {r.atom_id: round(r.x - -1.0 if r.x < 0 else r.x, 3) for r in atoms.where(F.col("structure_id").endswith("a.data")).collect()}.keys() == set(range(300))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
