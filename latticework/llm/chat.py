@@ -46,11 +46,15 @@ def flatten_parts(parts: Column, fields: list[str]) -> tuple[Column, Column]:
     def get(p: Column, name: str, kind: str) -> Column:
         return p[name].cast(kind) if name in fields else F.lit(None).cast(kind)
 
+    # a control string may lie across parts, so "<|" is escaped in the joined text; until then a placeholder is "&kind;",
+    # which no text holds once its own "&" are escaped
+    marks = {**PLACEHOLDER, "file": OTHER}
+
     def show(p: Column) -> Column:
-        shown = F.when(p["type"] == "text", escape(get(p, "text", "string")))
-        for kind, mark in PLACEHOLDER.items():
-            shown = shown.when(p["type"] == kind, F.lit(mark))
-        return shown.otherwise(F.lit(OTHER))
+        shown = F.when(p["type"] == "text", F.replace(F.coalesce(get(p, "text", "string"), F.lit("")), F.lit("&"), F.lit("&amp;")))
+        for kind in PLACEHOLDER:
+            shown = shown.when(p["type"] == kind, F.lit(f"&{kind};"))
+        return shown.otherwise(F.lit("&file;"))
 
     def cost(p: Column) -> Column:
         def side(name: str) -> Column:
@@ -61,7 +65,9 @@ def flatten_parts(parts: Column, fields: list[str]) -> tuple[Column, Column]:
                 .otherwise(F.lit(1))).cast("long")
 
     given = F.filter(parts, lambda p: p.isNotNull())
-    body = F.coalesce(F.array_join(F.transform(given, show), ""), F.lit(""))
+    body = F.replace(F.coalesce(F.array_join(F.transform(given, show), ""), F.lit("")), F.lit("<|"), F.lit("&lt;|"))
+    for kind, mark in marks.items():
+        body = F.replace(body, F.lit(f"&{kind};"), F.lit(mark))
     attached = F.transform(F.filter(given, lambda p: F.coalesce(p["type"], F.lit("")) != "text"), lambda p: F.struct(
         p["type"].alias("type"), get(p, "ref", "string").alias("ref"), cost(p).alias("n_tokens")))
     return body, F.coalesce(attached, F.array().cast("array<struct<type:string,ref:string,n_tokens:bigint>>"))
@@ -118,6 +124,7 @@ def read_turns(formatted: Column) -> Column:
 def read_back(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(conv, turns, loss_text, formatted): turns parsed from the output, and all text under its loss mask, unescaped."""
     parsed = chats.select(conv, "formatted", "loss_spans", read_turns(F.col("formatted")).alias("turns"))
-    starts = F.col("loss_spans.start")
-    under = F.filter("turns", lambda t: F.array_contains(starts, t["start"]))
-    return parsed.select(conv, "turns", "formatted", F.array_join(F.transform(under, lambda t: t["text"]), "").alias("loss_text"))
+    def masked(span: Column) -> Column:
+        return unescape(F.col("formatted").substr((span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
+
+    return parsed.select(conv, "turns", "formatted", F.array_join(F.transform("loss_spans", masked), "").alias("loss_text"))
