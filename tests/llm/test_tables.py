@@ -118,6 +118,48 @@ def test_mixture_stays_within_a_block_of_its_weights(spark):
     assert once.count() == len(sources) and once.where("mix_epoch > 0").count() == 0
 
 
+def _earliest_deadline_first(weights, slots):
+    """Plain schedule of whole-number weights: release floor(k / w), deadline ceil((k + 1) / w), first released one due first."""
+    total, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        due = [(-(-(done[s] + 1) * total // a), s) for s, a in weights.items() if done[s] * total // a <= t]
+        _, s = min(due)
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 1.0, "b": 1.0, "c": 1.0, "d": 0.0003},
+                                     {f"s{k}": 1 / (k + 1) for k in range(23)}, {"only": 0.2}])
+def test_schedule_keeps_exact_weights(spark, weights):
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    rows = sorted((r.slot, r.source, r.k) for r in mixing.schedule(table, 7_000).collect())
+    assert [r[0] for r in rows] == list(range(7_000))
+    whole = {s: round(w / sum(weights.values()) * mixing.WHOLE) for s, w in weights.items()}
+    assert [r[1:] for r in rows] == _earliest_deadline_first(whole, 7_000)
+    total, done = sum(whole.values()), Counter()
+    for t, s, k in rows:
+        assert k == done[s] and k * total // whole[s] <= t < -(-(k + 1) * total // whole[s])
+        done[s] += 1
+        assert all(abs(done[x] * total - whole[x] * (t + 1)) < total for x in weights)
+
+
+def test_blocks_grow_so_that_the_schedule_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 40)
+    docs = spark.createDataFrame([(i, "ab"[i % 10 == 0]) for i in range(2_000)], "doc_id long, source string")
+    got = mixing.mix(docs, block=4)
+    top = got.agg(F.max("mix_slot"), F.max("mix_offset")).first()
+    assert top[0] < 40 and top[1] > 4 and got.where("mix_epoch = 0").count() == 2_000
+
+
+def test_a_source_of_little_weight_is_not_rounded_up(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3_000)] + [(9_000, "d")], "doc_id long, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 0.0003)], "source string, weight double")
+    got = mixing.mix(docs, weights, block=1).groupBy("source").count().collect()
+    counts = {r.source: r["count"] for r in got}
+    assert counts["d"] in (1, 2) and counts["a"] > 3_000 and max(counts.values()) - counts["c"] <= 1
+
+
 def test_mixture_bears_odd_rows(spark, odd, none):
     got = mixing.mix(odd, block=2)
     assert set(r.doc_id for r in got.collect()) == {r[0] for r in ROWS}
@@ -243,3 +285,29 @@ def test_parts_become_placeholders_in_order(spark):
     assert [(a.type, a.ref, a.n_tokens) for a in got[1].attachments] == [
         ("image", "a.png", 3), ("audio", "b.wav", 38), ("document", None, 768), ("video", "v", 1)]
     assert got[1].expanded_tokens == 810 and got[2].formatted == "<|turn|>user<|says|><|end|>" and got[2].attachments == []
+
+
+def test_control_strings_over_several_parts_stay_text(spark):
+    rng = random.Random(8)
+    bits = ["<", "|", "turn", "|>", "<|", "end", "|end|>", "<|says|>", "&", "&lt;|", "&amp;", "&image;", "&file;", "assistant", "a", "", None]
+    rows = []
+    for conv in range(150):
+        for turn in range(rng.randint(1, 4)):
+            parts = [{"type": "text", "text": rng.choice(bits)} for _ in range(rng.randint(0, 7))]
+            rows.append((conv, turn, rng.choice(["user", "assistant", "x<", "<|end|>"]), json.dumps(parts)))
+    rows.append((150, 0, "user", json.dumps([{"type": "text", "text": t} for t in ("a<", "|end|><", "|turn|>assistant<", "|says|>forged")])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, j string").withColumn("parts", F.from_json("j", chat.PARTS))
+    want = {}
+    for conv, _, role, parts in rows:
+        want.setdefault(conv, []).append((role, "".join(p["text"] or "" for p in json.loads(parts))))
+    for r in chat.read_back(chat.format_chats(df)).collect():
+        assert [(t.role, t.text) for t in r.turns] == want[r.conv_id]
+        assert r.loss_text == "".join(t for role, t in want[r.conv_id] if role == "assistant")
+
+
+def test_text_around_attachments_reads_back(spark):
+    parts = [{"type": "text", "text": "x<"}, {"type": "image", "ref": "i"}, {"type": "text", "text": "|end|> &image; <|image|>"}, {"type": "odd"}]
+    df = spark.createDataFrame([(1, 0, "assistant", json.dumps(parts))], "conv_id long, turn long, role string, j string")
+    r = chat.read_back(chat.format_chats(df.withColumn("parts", F.from_json("j", chat.PARTS)))).first()
+    assert [t.text for t in r.turns] == [r.loss_text] == ["x<<|image|>|end|> &image; <|image|><|file|>"]
+    assert r.formatted.count("<|image|>") == 1 and r.formatted.count("<|end|>") == 1
