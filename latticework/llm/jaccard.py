@@ -336,18 +336,23 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
     members = members.join(parts, "node").join(heads.select("node", "row"), "node")
     members = staged(members.join(found.drop("head", "tail", *_MORE), ["node", "row"]).drop("row"), "members")
 
-    # the matrix over index prefixes, asked by query prefixes; the smaller set of a pair is the member
+    # the matrix over index prefixes, asked by query prefixes; the smaller set of a pair is the member. In the row of the
+    # first token that both hold, all they share lies from there on: `rest` counts the tokens from an entry's on
     short = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)).cast("int") + 1
     size = F.col("n").cast("int")
     entries = members.select("unit", "part", size.alias("n"), (F.col("unit") == F.col("node")).alias("alone"),
-                             F.explode(F.slice("prefix", 1, short)).alias("token"))
+                             F.posexplode(F.slice("prefix", 1, short)).alias("at", "token"))
+    entries = entries.withColumn("rest", F.col("n") - F.col("at"))
     names = ["token", "unit", "part"]
-    matrix = (entries.where("alone").select(*names, F.col("n").alias("lo"), F.col("n").alias("hi"))
-              .unionByName(entries.where(~F.col("alone")).groupBy(*names).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))))
+    matrix = (entries.where("alone").select(*names, F.col("n").alias("lo"), F.col("n").alias("hi"), "rest")
+              .unionByName(entries.where(~F.col("alone")).groupBy(*names).agg(
+                  F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))))
     # a pivot asks once, for whichever of its groups; its part is the same in all
-    asks = members.where("once").select(F.explode("prefix").alias("token"), F.col("node").alias("q"),
+    asks = members.where("once").select(F.posexplode("prefix").alias("q_at", "token"), F.col("node").alias("q"),
                                       F.col("part").alias("q_part"), size.alias("q_n"))
-    near = ((F.col("part") != F.col("q_part")) & (F.col("lo") <= F.col("q_n")) & (den * F.col("hi") >= num * F.col("q_n")))
+    shared = F.least(F.col("q_n") - F.col("q_at"), F.col("rest"))
+    near = ((F.col("part") != F.col("q_part")) & (F.col("lo") <= F.col("q_n")) & (den * F.col("hi") >= num * F.col("q_n"))
+            & ((num + den) * shared >= num * (F.col("q_n") + F.col("lo"))))
     pairs = staged(asks.join(matrix, (asks["token"] == matrix["token"]) & near).select("q", "q_part", "unit").distinct(), "pairs")
     # a group of one is dismissed where parity signatures differ in more bits than a link may differ in tokens
     signed = members.where("once").select("node", "n", "marks")
