@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,3 +24,8 @@ def normal(*parts) -> Column:
     """Standard normal by Box-Muller from two keyed uniforms."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(*parts, "r")))
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(*parts, "t"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]

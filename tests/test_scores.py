@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -153,3 +154,42 @@ def test_rescored_batches(spark):
     assert got["p"].tolist() == [.2, .8, .6, .4]
     conf = P.mean_confidence(spark.createDataFrame(pd.DataFrame(got))).first().confidence
     assert math.isclose(conf, .7)
+
+
+def test_neutrality_of_many_types_equals_all_combinations(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in list(range(1, 9)) * 3:
+        zs = [int(z) for z in rng.integers(1, 95, n)]
+        x = rng.integers(1, 9, n)
+        rows.append((zs, [float(v) for v in x / x.sum()]))
+    got = [r.n for r in spark.createDataFrame(rows, "zs array<int>, x array<double>").select(J.neutrality(F.col("zs"), F.col("x")).alias("n")).collect()]
+    for (zs, x), n in zip(rows, got):
+        least = min(abs(float(np.dot(x, q))) for q in itertools.product(*[OXIDATION.get(z, (0,)) for z in zs]))
+        assert abs(n - (0.0 if least < 1e-9 else least)) < 1e-12
+    # twenty types of four charges each: 4^20 combinations
+    four = [z for z, q in OXIDATION.items() if len(q) == 4]
+    zs = [four[k % len(four)] for k in range(20)]
+    x = (rng.permutation(20) + 1) / 210
+    began = time.time()
+    found = spark.createDataFrame([(zs, x.tolist())], "zs array<int>, x array<double>").select(
+        J.neutrality(F.col("zs"), F.col("x")).alias("n")).first().n
+    assert time.time() - began < 60
+    low, high = (np.sort([sum(t) for t in itertools.product(*[x[k] * np.array(OXIDATION[zs[k]]) for k in part])])
+                 for part in (range(10), range(10, 20)))
+    at = np.searchsorted(high, -low)
+    least = min(np.abs(low + high[np.clip(at + k, 0, len(high) - 1)]).min() for k in (-1, 0))
+    assert abs(found - (0.0 if least < 1e-9 else least)) < 1e-12
+
+
+def test_pruned_candidates_are_the_best_of_all(spark):
+    rng = np.random.default_rng(13)
+    logp = np.log(rng.dirichlet(np.ones(94), (3, 5)))
+    rows = [(s, t, z + 1, float(logp[s, t, z])) for s in range(3) for t in range(5) for z in range(94)]
+    got = J.beam_candidates(spark.createDataFrame(rows, "structure_id int, type_id int, zn int, logp double"), top_k=10, beam=60).collect()
+    for s in range(3):
+        partial = [(0.0, ())]
+        for t in range(5):
+            best = np.argsort(-logp[s, t])[:10]
+            partial = sorted((c - logp[s, t, z], zs + (int(z) + 1,)) for c, zs in partial for z in best)[:60]
+        assert sorted(tuple(r.zs) for r in got if r.structure_id == s) == sorted(zs for _, zs in partial)
