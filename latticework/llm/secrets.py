@@ -1,9 +1,13 @@
 """Secret scans with one automaton for all rules.
 
 Rule expressions are compiled together: positions of a nondeterministic automaton, subset construction over byte
-classes, minimisation, and one transition array. The arrays then run over every byte of every text once, many text
-stretches side by side; a stretch lies between bytes that send every state back to the start, so no match crosses its
-ends. Only stretches where a rule fired are matched exactly, rule by rule, for spans.
+classes, minimisation, and one transition array. The arrays run over every byte of every text once, many text stretches
+side by side, and leave for each byte the rules that accept there; a stretch lies between bytes that send every state back
+to the start, so no match crosses its ends.
+
+Spans follow from the accepting bytes. Every rule ends in a repeated class (or in a fixed text), so a greedy match ends
+where a run of accepting bytes does, the length of the run is the count of the repeated class, and the match begins where
+the same automaton of the rule's first part, read backwards from the run, accepts last.
 """
 
 from __future__ import annotations
@@ -34,14 +38,6 @@ RULES = {
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "match", 0),
 }
 BASE = ("assign", "access", "hex")
-# What fires each rule: the beginning that every passing match has. Counted tails stay short where several rules
-# could count at once, so the automaton stays small; the exact match that follows checks the rest.
-TRIGGERS = {
-    "assign": r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]",
-    "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{24}", "hosting": r"gh[pousr]_[A-Za-z0-9]", "chat": r"xox[abprs]-",
-    "maps": r"AIza[A-Za-z0-9_-]", "payment": r"[rs]k_live_[A-Za-z0-9]", "bearer": r"eyJ[A-Za-z0-9_-]+\.",
-    "pem": r"-----BEGIN [A-Z ]",
-}
 
 
 class _Nfa:
@@ -124,22 +120,27 @@ class Automaton:
         sets = {chars for moves in nfa.moves for chars, _ in moves}
         marks = [tuple(b in s for s in sets) for b in range(256)]
         classes = {m: k for k, m in enumerate(dict.fromkeys(marks))}
-        self.klass = np.array([classes[m] for m in marks], np.int64)
+        self.klass = np.array([classes[m] for m in marks], np.int32)
         sample = {k: b for b, k in reversed(list(enumerate(self.klass.tolist())))}
-        first = nfa.closure([start])
-        names, rows, todo = {first: 0}, [], [first]
+        # subsets are bit masks; each position's moves are closed over beforehand
+        def mask(states) -> int:
+            return sum(1 << t for t in nfa.closure(states))
+
+        moves = [[mask([t for chars, t in nfa.moves[s] if sample[k] in chars]) for k in range(len(classes))] for s in range(len(nfa.moves))]
+        begin = mask([start])
+        names, rows, todo = {begin: 0}, [], [begin]
         while todo:
-            now, row = todo.pop(0), []
-            for k in range(len(classes)):
-                to = {t for s in now for chars, t in nfa.moves[s] if sample[k] in chars}
-                to = nfa.closure(to | {start})
+            now, row = todo.pop(), [begin] * len(classes)
+            for s in range(now.bit_length()):
+                if now >> s & 1:
+                    row = [m | to for m, to in zip(row, moves[s])]
+            for to in row:
                 if to not in names:
                     names[to] = len(names)
                     todo.append(to)
-                row.append(names[to])
-            rows.append(row)
-        table = np.array(rows)
-        fired = np.array([sum(1 << ends[s] for s in x if s in ends) for x in names], np.int64)
+            rows.append((names[now], [names[to] for to in row]))
+        table = np.array([row for _, row in sorted(rows)])
+        fired = np.array([sum(1 << i for s, i in ends.items() if x >> s & 1) for x in names], np.int64)
         part = np.unique(fired, return_inverse=True)[1]
         while True:  # refine until equal rows stay together
             finer = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].ravel()
@@ -150,13 +151,13 @@ class Automaton:
         part = np.array([order[p] for p in part.tolist()])
         lead = np.unique(part, return_index=True)[1]
         self.n_classes = len(classes)
-        moves = part[table[lead]]
-        self.fired = fired[lead]
-        self.reset = (moves == 0).all(axis=0)[self.klass]
-        self.table = (moves * self.n_classes).ravel()
+        after = part[table[lead]]
+        self.fired = fired[lead].astype(np.int16)
+        self.reset = (after == 0).all(axis=0)[self.klass]
+        self.table = (after * self.n_classes).ravel().astype(np.int32)
 
-    def stretches(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, fired bits) of the stretches where anything fired, in order."""
+    def accepting(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For every byte of the texts the bits of the expressions that end there."""
         inside = ~self.reset[buf]
         head, tail = inside.copy(), inside.copy()
         head[1:] &= ~inside[:-1]
@@ -168,49 +169,140 @@ class Automaton:
         start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
         order = np.argsort(start - end, kind="stable")  # longest first
         at, length = start[order], (end - start)[order]
-        state, bits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        code, fired = self.klass[buf], self.fired
+        out = np.zeros(len(buf), np.int16)
+        state = np.zeros(len(at), np.int32)
+        code, fired = self.klass[buf], np.repeat(self.fired, self.n_classes)  # by entry of the table
         active = len(at)
         for t in range(int(length[0]) if len(length) else 0):
             active = int(np.searchsorted(-length[:active], -t, "left"))  # those longer than t
-            state[:active] = self.table[state[:active] + code[at[:active] + t]]
-            bits[:active] |= fired[state[:active] // self.n_classes]
-        hit = np.sort(order[bits != 0])
-        back = np.zeros(len(at), np.int64)
-        back[order] = bits
-        return start[hit], end[hit], back[hit]
+            here = at[:active] + t
+            now = self.table.take(state[:active] + code.take(here))
+            state[:active] = now
+            out[here] = fired.take(now)
+        return out
+
+
+class _Lazy:
+    """One expression as an automaton whose subsets are made when they are met; few bytes come here."""
+
+    def __init__(self, tree, search: bool):
+        self.nfa = _Nfa()
+        begin = self.nfa.state()
+        self.end = self.nfa.add(tree, begin)
+        self.start = self.nfa.closure([begin])
+        self.search, self.known = search, {}
+
+    def step(self, states: frozenset[int], byte: int) -> frozenset[int]:
+        key = states, byte
+        if key not in self.known:
+            to = self.nfa.closure({t for s in states for chars, t in self.nfa.moves[s] if byte in chars})
+            self.known[key] = to | self.start if self.search else to
+        return self.known[key]
+
+
+def _backwards(tree) -> list:
+    """The parsed expression of all matches read from their end."""
+    out = []
+    for op, arg in reversed(list(tree)):
+        if op is sre.SUBPATTERN:
+            arg = (*arg[:3], _backwards(arg[3]))
+        elif op is sre.BRANCH:
+            arg = (arg[0], [_backwards(b) for b in arg[1]])
+        elif op is sre.MAX_REPEAT:
+            arg = (*arg[:2], _backwards(arg[2]))
+        out.append((op, arg))
+    return out
+
+
+class _Rule:
+    def __init__(self, expression: str, what: str, least: int):
+        tree = list(sre_parser.parse(expression))
+        op, arg = tree[-1]
+        self.repeats = op is sre.MAX_REPEAT or (op is sre.SUBPATTERN and arg[3][-1][0] is sre.MAX_REPEAT)
+        self.what, self.least = what, least
+        self.forward = _Lazy(tree, search=True)
+        self.back = _Lazy(_backwards(tree[:-1] if self.repeats else tree), search=False)
+
+    def begin(self, text: bytes, stop: int, low: int) -> int | None:
+        """Leftmost place from `low` on where the part before `stop` can begin."""
+        states, found = self.back.start, None
+        for k in range(stop, low - 1, -1):
+            if self.back.end in states:
+                found = k
+            if k == low:
+                break
+            states = self.back.step(states, text[k - 1])
+            if not states:
+                break
+        return found
+
+    def span(self, text: bytes, first: int, end: int, low: int) -> tuple[int, int] | None:
+        """(start, first accepting byte) of the leftmost match from `low` on that ends where the run [first, end) does."""
+        start = self.begin(text, first if self.repeats else end, low)
+        if start is None and self.repeats:
+            # what began the run overlaps the match before; search on behind that one
+            states = self.forward.start
+            for k in range(low, end):
+                states = self.forward.step(states, text[k])
+                if self.forward.end in states:
+                    start, first = self.begin(text, k, low), k
+                    break
+        return None if start is None else (start, first)
 
 
 @functools.cache
 def automaton() -> Automaton:
-    return Automaton(list(TRIGGERS.values()))
+    return Automaton([e for e, _, _ in RULES.values()])
 
 
 @functools.cache
-def _compiled() -> list[tuple[str, re.Pattern, str, int]]:
-    return [(kind, re.compile(e), what, least) for kind, (e, what, least) in RULES.items()]
+def _rules() -> list[_Rule]:
+    return [_Rule(*rule) for rule in RULES.values()]
+
+
+def _spans(buf: np.ndarray, offsets: np.ndarray, machine: Automaton) -> list[tuple[int, int, int, int]]:
+    """(text, start, rule, end) of all matches, in bytes of the buffer."""
+    accepting, out, text = machine.accepting(buf, offsets), [], buf.tobytes()
+    for r, rule in enumerate(_rules()):
+        on = np.flatnonzero(accepting & (1 << r))
+        if not len(on):
+            continue
+        new = np.ones(len(on), bool)
+        new[1:] = on[1:] != on[:-1] + 1
+        new |= np.isin(on, offsets[:-1])  # a run does not go on into the next text
+        first = on[new]
+        end = np.append(on[np.flatnonzero(new)[1:] - 1], on[-1]) + 1
+        doc = np.searchsorted(offsets, first, "right") - 1
+        if not rule.back.nfa.moves[0]:  # the class alone: a match is a run
+            long = end - first >= rule.least
+            out += zip(doc[long].tolist(), first[long].tolist(), [r] * int(long.sum()), end[long].tolist())
+            continue
+        last, low = -1, 0
+        for d, a, b in zip(doc.tolist(), first.tolist(), end.tolist()):
+            if d != last:
+                last, low = d, int(offsets[d])
+            found = rule.span(text, a, b, low)
+            if found:
+                low = b
+                if b - (found[1] if rule.what == "value" else found[0]) >= rule.least:
+                    out.append((d, found[0], r, b))
+    return sorted(out)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    machine, rules = automaton(), _compiled()
+def _scan(batches: Iterator[pa.RecordBatch], machine: Automaton) -> Iterator[pa.RecordBatch]:
+    kinds = list(RULES)
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for part in slices(batch, "_text"):
             buf, offsets = text_bytes(part.column("_text"))
-            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(part.num_rows)]
-            start, end, bits = machine.stretches(buf, offsets)
-            if len(start):
-                points = np.zeros(len(buf) + 1, np.int64)  # characters before each byte
+            out: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            found = _spans(buf, offsets, machine)
+            points = np.zeros(len(buf) + 1 if found else 0, np.int64)  # characters before each byte
+            if found:
                 np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
-                doc = np.searchsorted(offsets, start, "right") - 1
-                for a, b, mask, d in zip(start.tolist(), end.tolist(), bits.tolist(), doc.tolist()):
-                    text, base = buf[a:b].tobytes().decode("ascii"), int(points[a] - points[offsets[d]])
-                    for k, (_, rule, what, least) in enumerate(rules):
-                        if mask >> k & 1:
-                            for m in rule.finditer(text):
-                                if len(m[1] if what == "value" else m[0]) >= least:
-                                    spans[d].append((base + m.start(), k, base + m.end()))
-            out = [[{"kind": rules[k][0], "start": a, "end": b} for a, k, b in sorted(x)] for x in spans]
+            for d, a, r, b in found:
+                base = points[offsets[d]]
+                out[d].append({"kind": kinds[r], "start": int(points[a] - base), "end": int(points[b] - base)})
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, kind_type)], ["row", "spans"])
 
 
@@ -224,7 +316,8 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     kept = [c for c in (keep if keep is not None else docs.columns) if c != "spans"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("_text"))
     kinds = packed.schema["row"].dataType.simpleString()
-    found = packed.mapInArrow(_scan, f"row {kinds}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    machine = automaton()  # compiled here once, some three megabytes that travel with the tasks
+    found = packed.mapInArrow(lambda b: _scan(b, machine), f"row {kinds}, spans array<struct<kind:string,start:bigint,end:bigint>>")
     return found.select(*[F.col("row")[c].alias(c) for c in kept], "spans")
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.llm import licenses, pii, ppm, quality, secrets
+from latticework.llm.queries import LLM_QUERIES
 from latticework.llm.queries import _base
 
 from .brute import WORD, lower_ascii, words
@@ -70,17 +71,43 @@ def test_secret_spans_match_the_expressions(spark):
     assert sum(map(len, got.values())) > 12
 
 
-def test_automaton_finds_what_the_expressions_find():
+def _expected_spans(text):
+    kinds, want = list(secrets.RULES), []
+    for k, (rule, what, least) in secrets.RULES.items():
+        want += [(m.start(), kinds.index(k), m.end()) for m in re.finditer(rule, text) if len(m[1] if what == "value" else m[0]) >= least]
+    return sorted(want)
+
+
+def test_spans_of_random_texts_are_those_of_the_expressions():
     rng = np.random.default_rng(3)
-    machine, parts = secrets.automaton(), ["token", "=", " ", "AKIA", "x", "deadbeef", "9", ":", "\"", "ghp_", "eyJ", ".", "xoxp-", ","]
-    for _ in range(300):
-        text = "".join(rng.choice(parts, rng.integers(1, 30)))
-        buf = np.frombuffer(text.encode(), np.uint8)
-        found = 0
-        for _, _, bits in zip(*machine.stretches(buf, np.array([0, len(buf)]))):
-            found |= int(bits)
-        want = sum(1 << k for k, rule in enumerate(secrets.TRIGGERS.values()) if re.search(rule, text))
-        assert found == want, text
+    parts = ["token", "secret", "Password", "=", " ", "AKIA", "x", "deadbeef", "9", ":", "\"", "'", "ghp_", "eyJ", "eyJa", ".", "xoxp-", ",", "-----BEGIN ",
+             "PRIVATE KEY-----", "RSA ", "_", "/", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "sk_live_", "AIza", "\n"]
+    found = 0
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(20)]
+        raw = "".join(texts).encode()
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = [[] for _ in texts]
+        for d, a, r, b in secrets._spans(np.frombuffer(raw, np.uint8), offsets, secrets.automaton()):
+            got[d].append((a - int(offsets[d]), r, b - int(offsets[d])))
+        for t, g in zip(texts, got):
+            assert g == _expected_spans(t), t
+            found += len(g)
+    assert found > 500
+
+
+def test_query_of_secrets(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate([*SECRETS, "token=secret:password=abcdefg", "eyJa.eyJb.c.d" * 9, "ghp_abcghp_" + "x" * 40])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in LLM_QUERIES["op7_secret_scans"](spark, str(tmp_path)).collect()}
+    kinds = list(secrets.RULES)
+    for i, t in rows:
+        want = [(kinds[k], a, b) for a, k, b in _expected_spans(t or "")]
+        r = got[i]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [r[f"n_{k}"] for k in secrets.BASE] == [sum(w[0] == k for w in want) for k in secrets.BASE]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want if k in secrets.BASE)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
 
 
 def test_odd_rows_have_no_secrets_and_keep_their_columns(odd, none):
