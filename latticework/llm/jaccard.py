@@ -6,8 +6,7 @@ similar sets share as often as they are similar) form groups of bounded size. Th
 
 1. Inside a group all members are compared, except pairs that are connected already. A large key is cut into several
    groups which share one member, so near-copies end up connected whatever group they fell into; groups by the
-   largest hash connect most of those whose smallest hash differs, and groups by the smallest of further hashes, with one
-   member of each component in a group, nearly all of the rest.
+   largest hash connect most of those whose smallest hash differs.
 2. The token-group matrix, as (token, group) rows over prefixes, meets the prefixes of all nodes on the token. Pairs
    of one component are left out: of a huge cluster of near-copies nothing remains.
 3. For each pair of node and group the overlap with the group's token union bounds the overlap with any member. Only
@@ -43,10 +42,6 @@ BROADCAST_ROWS = 1_000_000
 PARITY, LEAST_PARITY = 1, 64
 # Bits of the filter that spares texts of no interest from being cut again; its size is fixed.
 FILTER_BITS = 26
-# Further hashes of tokens whose smallest value groups sets again.
-_MORE = {"third": np.uint64(0x5851F42D4C957F2D), "fourth": np.uint64(0x14057B7EF767814F)}
-
-
 def _least(n: np.ndarray | int, similar: tuple[int, int]):
     """Smallest overlap of a set of n with any set it links to: a share of n, rounded up."""
     return -(-n * similar[0] // similar[1])
@@ -152,16 +147,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similar: tuple[int,
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.tokens[order][keep].view(np.int64)))
             marks = _parities(sets).filter(pa.array(fresh))
-            own = np.flatnonzero(sets.n)
-            more = [np.zeros(part.num_rows, np.uint64) for _ in _MORE]
-            for low, salt in zip(more, _MORE.values()):
-                if len(own):
-                    low[own] = np.minimum.reduceat(mix64(sets.tokens ^ salt), sets.first[:-1][own])
             head, tail = (sets.tokens[at[fresh]].view(np.int64) for at in (sets.first[:-1], sets.first[1:] - 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.node[fresh]), pa.array(sets.n[fresh].astype(np.int64)), pa.array(head), pa.array(tail),
-                 *[pa.array(low[fresh].view(np.int64)) for low in more], tokens, marks],
-                ["node", "n", "head", "tail", *_MORE, "prefix", "marks"])
+                 tokens, marks], ["node", "n", "head", "tail", "prefix", "marks"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -291,10 +280,10 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
     sized = measured.where(F.col("slice").isNull()).select("id", "key", "body", "node", "n")
     keys = staged(sized.where(F.col("n") > 0).groupBy("node").agg(F.min("key").alias("key")), "nodes")
     found = source.mapInArrow(lambda b: _prefixes(b, width, similar, levels),
-                              "node long, n long, head long, tail long, third long, fourth long, prefix array<long>, marks array<long>")
+                              "node long, n long, head long, tail long, prefix array<long>, marks array<long>")
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     # tasks that saw the same set each wrote it; one row of a node counts from here on
-    heads = staged(found.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("head", "tail", "n", *_MORE)]), "heads")
+    heads = staged(found.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("head", "tail", "n")]), "heads")
 
     def pieces(size: Column, tokens: Column, most: int) -> Column:
         return F.ceil(F.greatest(size / most, tokens / TOKENS)).cast("int")
@@ -317,24 +306,13 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], text: str, id
     linked = link(staged(groups(heads, "head").unionByName(
         groups(heads, "tail").withColumn("once", F.lit(None).cast("boolean"))), "groups"))
     parts = components(linked.select(F.col("node").alias("a"), F.col("part").alias("b")))
-    parts = staged(heads.select("node", *_MORE, "n").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
-    for key in _MORE:  # what is apart yet and meets under one more hash; one node of each part stands for it
-        stands = parts.groupBy(key, "part").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"))
-        met = staged(groups(stands, key), "groups")
-        if met.isEmpty():
-            continue
-        part_of = parts.select("node", F.col("part").alias("p"))
-        joined = link(met).select("node", F.col("part").alias("b")).join(part_of.withColumnRenamed("p", "a"), "node")
-        joined = joined.select("a", F.col("b").alias("node")).join(part_of.withColumnRenamed("p", "b"), "node").select("a", "b")
-        roots = components(joined).select(F.col("node").alias("part"), "root")
-        parts = staged(parts.join(roots, "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root"), "parts")
-    parts = parts.select("node", "part")
+    parts = staged(heads.select("node").join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
     # a node alone under its smallest token is its own group
     inside = linked.where(F.col("once").isNotNull()).select("node", "unit", "once")
     members = (heads.join(inside.select("node").distinct(), "node", "left_anti")
                .select("node", F.col("node").alias("unit"), F.lit(True).alias("once")).unionByName(inside))
     members = members.join(parts, "node").join(heads.select("node", "row"), "node")
-    members = staged(members.join(found.drop("head", "tail", *_MORE), ["node", "row"]).drop("row"), "members")
+    members = staged(members.join(found.drop("head", "tail"), ["node", "row"]).drop("row"), "members")
 
     # the matrix over index prefixes, asked by query prefixes; the smaller set of a pair is the member. In the row of the
     # first token that both hold, all they share lies from there on: `rest` counts the tokens from an entry's on
