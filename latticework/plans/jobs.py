@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import K_ENV, M_ENV, UNITS
+from ..constants import K_ENV, M_ENV, MAX_TYPES, UNITS
 from ..elements import elements
 from ..operators import calibration, corpus, decode, gates, scoring, tokens, units
 from ..operators.augment import make_variants, test_time_variants
@@ -27,8 +27,11 @@ def build_features(atoms: DataFrame, structures: DataFrame, path: str, source: s
                    n_aug: int = 1, seed: int = 0) -> DataFrame:
     """Gate, expand, describe and store a corpus; returns the count of structures per gate outcome.
 
-    `atoms` carries label, symbol and zn. One job over the whole corpus: every step is keyed by structure.
+    `atoms` carries label, symbol and zn. One job over the whole corpus: every step is keyed by structure. Records hold
+    MAX_TYPES types, so structures with more are rejected and counted whatever the rules say. A repeated job replaces
+    the records of its source.
     """
+    rules = replace(rules, max_types=min(rules.max_types or MAX_TYPES, MAX_TYPES))
     gated = gates.quality_gate(gates.structure_stats(atoms, structures), rules)
     passed = staged(gates.kept(gated).select(SID), "passed")
     good = relabel_types(atoms.join(passed, SID, "left_semi"))
@@ -39,8 +42,8 @@ def build_features(atoms: DataFrame, structures: DataFrame, path: str, source: s
     labels = (points.groupBy(SID, "type_id").agg(F.max("zn").alias("zn")).groupBy(SID).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("type_id", "zn"))), lambda e: e["zn"]).alias("labels")))
     records = (tokens.padded_rows(pairs, types).join(labels, SID).join(cells.select(SID, "parent_id"), SID)
-                     .join(gids, "parent_id").withColumn("source", F.lit(source)))
-    store.write_features(records, path)
+                     .join(gids, "parent_id"))
+    store.replace_features(records, path, source)
     return gates.reject_reasons(gated)
 
 

@@ -18,6 +18,8 @@ from ..operators.geometry import relabel_types, wrap_positions
 from .jsonscan import json_entries
 
 SITE = "STRUCT<species: ARRAY<STRUCT<element: STRING, occu: DOUBLE>>, xyz: ARRAY<DOUBLE>>"
+SITE_ROW = ("structure_id STRING, cell ARRAY<ARRAY<DOUBLE>>, "
+            "sites ARRAY<STRUCT<symbol: STRING, x: DOUBLE, y: DOUBLE, z: DOUBLE, occupancy: DOUBLE>>")
 FRAME = (f"STRUCT<mp_id: STRING, structure: STRUCT<charge: DOUBLE, lattice: STRUCT<matrix: ARRAY<ARRAY<DOUBLE>>>, "
          f"sites: ARRAY<{SITE}>>>")
 
@@ -67,10 +69,11 @@ def id_mismatches(frames: DataFrame, k: int = 10) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str | list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(structures, sites) of expanded crystal tables: JSON rows (structure_id, cell, sites[symbol,x,y,z,occupancy])."""
-    schema = ("structure_id STRING, cell ARRAY<ARRAY<DOUBLE>>, "
-              "sites ARRAY<STRUCT<symbol: STRING, x: DOUBLE, y: DOUBLE, z: DOUBLE, occupancy: DOUBLE>>")
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    """(structures, sites) of expanded crystal tables: JSON rows (structure_id, cell, sites[symbol,x,y,z,occupancy]).
+
+    A malformed row fails the query; `site_rejects` lists such rows.
+    """
+    rows = spark.read.schema(SITE_ROW).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
     if limit is not None:
         rows = rows.limit(limit)
     sites = rows.select("structure_id", F.posexplode("sites").alias("atom_id", "s")).select(
@@ -79,6 +82,14 @@ def read_sites(spark: SparkSession, path: str | list[str], limit: int | None = N
     return structures, sites
 
 
+def site_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, row) of the rows of site tables that cannot be parsed."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{SITE_ROW}, _row STRING", {"columnNameOfCorruptRecord": "_row"})
+    return lines.select(F.col("_metadata.file_path").alias("file"), parsed.alias("r")).where(F.col("r._row").isNotNull()).select(
+        "file", F.col("r._row").alias("row"))
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per array row of each .npy file."""
     for batch in batches:

@@ -10,8 +10,8 @@ from latticework.elements import elements
 from latticework.operators import augment as A
 from latticework.operators import decode as J
 from latticework.operators import descriptors as D
+from latticework.operators import gates, learning, tokens
 from latticework.operators import geometry as G
-from latticework.operators import learning, tokens
 from latticework.operators import sampling as S
 from latticework.plans import jobs
 from latticework.sources import store
@@ -49,8 +49,16 @@ def flat_model():
 
 def test_feature_job(spark, corpus, tmp_path):
     path = str(tmp_path / "features")
-    reasons = jobs.build_features(*corpus, path, "demo", n_aug=2, seed=3)
-    assert {r.reason: r.n for r in reasons.collect()} == {"kept": 12, "too_few_atoms": 1}
+    atoms, structures = corpus
+    # nine types do not fit a record
+    many = spark.createDataFrame([("many", i, ["Li", "F", "Na", "Cl", "O", "K", "Mg", "Al", "Si"][i % 9], i * .7, i % 3 * 2.1, i % 2 * 2.) for i in range(18)],
+                                 "structure_id string, atom_id long, symbol string, x double, y double, z double")
+    atoms = atoms.unionByName(G.map_elements(many, elements(spark)).withColumn("label", F.col("symbol")).select(atoms.columns))
+    structures = structures.unionByName(spark.createDataFrame([("many", (np.eye(3) * 14).tolist(), True, 18)], structures.schema))
+    for _ in range(2):  # the second run replaces what the first one stored
+        reasons = jobs.build_features(atoms, structures, path, "demo/1", gates.DYNAMICS, n_aug=2, seed=3)
+        assert {r.reason: r.n for r in reasons.collect()} == {"kept": 12, "too_few_atoms": 1, "too_many_types": 1}
+    assert store.read_features(spark, [path]).select("source").distinct().first().source == "demo/1"
     stored = store.read_features(spark, [path]).collect()
     assert len(stored) == 36
     for r in stored:

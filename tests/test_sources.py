@@ -295,3 +295,11 @@ def test_data_file_over_many_splits(spark, tmp_path):
         assert {r.atom_id: round(r.x - -1.0 if r.x < 0 else r.x, 3) for r in atoms.where(F.col("structure_id").endswith("a.data")).collect()}.keys() == set(range(300))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_malformed_site_rows_are_listed_and_fail(spark, tmp_path):
+    good = json.dumps({"structure_id": "a", "cell": np.eye(3).tolist(), "sites": [{"symbol": "O", "x": 0, "y": 0, "z": 0, "occupancy": 1}]})
+    (tmp_path / "s.json").write_text(good + '\n{"structure_id": "b", "cell": [[\n')
+    assert [r.row for r in nested.site_rejects(spark, str(tmp_path)).collect()] == ['{"structure_id": "b", "cell": [[']
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        nested.read_sites(spark, str(tmp_path))[1].collect()
