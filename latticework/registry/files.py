@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import nested, text
-from .base import query, table
+from .base import add_view, query, table
 from .base import typed_atoms as typed
 
 # Frames that one JSON object of the checks may hold.
@@ -16,6 +16,15 @@ FRAMES_PER_FILE = 2_000_000
 _ATOMS = "SELECT structure_id, {extra}label, round(xi / 100.0, 4) AS x, round(yi / 100.0, 4) AS y, round(zi / 100.0, 4) AS z FROM {view}"
 
 
+add_view("bulk_atoms", "base", """
+    SELECT l_suppkey AS structure_id, label, c % edge AS xi, (p * 7919 + o * 31 + c) % edge AS yi,
+           (o * 104729 + label * 31 + p * 17) % edge AS zi
+    FROM (SELECT l_suppkey, l_partkey AS p, l_orderkey AS o, l_linenumber AS label,
+                 min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem GROUP BY 1, 2, 3, 4) b
+    JOIN (SELECT l_suppkey AS s, CAST(6000 * ceil(round(cbrt(count(*) / 1000.0), 6)) AS BIGINT) AS edge
+          FROM lineitem GROUP BY 1) d ON d.s = b.l_suppkey""")
+
+
 def grouped_text(lines, path, one_file_each=True):
     """Write (structure_id, ord, value) lines in order, one folder per structure or many structures per file."""
     ordered = lines.repartition("structure_id").sortWithinPartitions("structure_id", "ord")
@@ -41,6 +50,23 @@ def number(column):
     SELECT structure_id, count(*) AS n_atoms, min(n) AS declared, round(sum(xi) / 100.0, 3) AS sum_x, round(sum(yi) / 100.0, 3) AS sum_y,
            round(max(zi) / 100.0, 3) AS max_z FROM bulk GROUP BY structure_id""".replace("min(n) AS declared, ", ""))
 def ingest_lammps(spark, sf_dir):
+    back, _ = lammps_back(spark, sf_dir)
+    return back.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum("x"), 3).alias("sum_x"),
+                                            F.round(F.sum("y"), 3).alias("sum_y"), F.round(F.max("z"), 3).alias("max_z"))
+
+
+# every atom with its label and the mass of its type, where the file states one
+@query("ingest_lammps_atoms", "bulk_atoms", """
+    SELECT structure_id, label, CASE label WHEN 1 THEN 15.9994 WHEN 2 THEN 6.94 END AS mass, round(xi / 100.0, 4) AS x,
+           round(yi / 100.0, 4) AS y, round(zi / 100.0, 4) AS z FROM bulk_atoms""")
+def ingest_lammps_atoms(spark, sf_dir):
+    back, masses = lammps_back(spark, sf_dir)
+    return back.join(masses, ["structure_id", "label"], "left").select(
+        "structure_id", F.col("label").cast("long").alias("label"), "mass", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+def lammps_back(spark, sf_dir):
+    """(atoms, masses) of the data files written and read."""
     atoms, structures = supplier_atoms(spark, sf_dir)
     edge = structures.select("structure_id", "n_atoms", F.col("cell")[0][0].alias("edge"))
     span = F.concat(number(F.lit(-1.5)), F.lit(" "), number(F.col("edge") - 1.5))
@@ -55,13 +81,12 @@ def ingest_lammps(spark, sf_dir):
             " ", F.col("atom_id").cast("string"), F.col("label").cast("string"), F.lit("0.5"), number(F.col("x") - 1.5 - F.col("edge")),
             number(F.col("y") - 1.5), number(F.col("z") - 1.5), F.lit("1"), (F.col("label") % 2).cast("string"), F.lit("0")).alias("value"))
     path = grouped_text(head.unionByName(body), scratch_path(spark, "lammps"))
-    _, back, _ = text.read_lammps(spark, path, recursive=True)
+    _, back, masses = text.read_lammps(spark, path, recursive=True)
     sid = F.regexp_extract("structure_id", r"structure_id=(\d+)", 1).cast("long")
     edges = edge.select(F.col("structure_id").alias("k"), "edge")
     back = back.withColumn("structure_id", sid).join(edges, F.col("structure_id") == F.col("k"))
     back = back.withColumns({c: F.expr(f"round({c}, 4) % edge") for c in "xyz"})
-    return back.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum("x"), 3).alias("sum_x"),
-                                            F.round(F.sum("y"), 3).alias("sum_y"), F.round(F.max("z"), 3).alias("max_z"))
+    return back, masses.withColumn("structure_id", sid)
 
 
 @query("ingest_extxyz", "atoms", _ATOMS.format(extra="'T' || atoms.label AS ", view="atoms"))
@@ -84,6 +109,18 @@ def ingest_extxyz(spark, sf_dir):
 @query("ingest_poscar", "bulk", """
     SELECT structure_id, 'E' || (xi % 3) AS label, count(*) AS n, round(sum(yi) / 100.0, 3) AS sum_y FROM bulk GROUP BY 1, 2""")
 def ingest_poscar(spark, sf_dir):
+    return poscar_back(spark, sf_dir).groupBy("structure_id", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("y", 4)), 3).alias("sum_y"))
+
+
+@query("ingest_poscar_atoms", "bulk", """
+    SELECT structure_id, 'E' || (xi % 3) AS label, round(xi / 100.0, 4) AS x, round(yi / 100.0, 4) AS y, round(zi / 100.0, 4) AS z FROM bulk""")
+def ingest_poscar_atoms(spark, sf_dir):
+    return poscar_back(spark, sf_dir).select("structure_id", "label", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+def poscar_back(spark, sf_dir):
+    """Atoms of the POSCAR files written and read."""
     atoms, structures = supplier_atoms(spark, sf_dir)
     kind = F.round(F.col("x") * 100).cast("long") % 3
     atoms = atoms.withColumn("kind", kind)
@@ -101,7 +138,7 @@ def ingest_poscar(spark, sf_dir):
     path = grouped_text(head.unionByName(body), scratch_path(spark, "poscar"))
     _, back = text.read_poscar(spark, path, recursive=True)
     sid = F.regexp_extract("structure_id", r"structure_id=(\d+)", 1).cast("long")
-    return back.groupBy(sid.alias("structure_id"), "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("y", 4)), 3).alias("sum_y"))
+    return back.withColumn("structure_id", sid)
 
 
 @query("ingest_nested_json", "", """
