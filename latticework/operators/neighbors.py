@@ -49,9 +49,12 @@ def neighbor_pairs(atoms: DataFrame, structures: DataFrame, r_max: float = R_MAX
 
     Periodic where `pbc`; otherwise no images, with `cell` only bounding the points. `centers`
     (structure_id, atom_id) restricts i. Displacements are fractional and measured by the cell's metric,
-    so a lattice vector keeps its exact length.
+    so a lattice vector keeps its exact length. Which structures keep a single grid cell is decided by their counted
+    atoms.
     """
     axes = range(3)
+    counted = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"))
+    structures = structures.drop("n_atoms").join(counted, "structure_id")
     metric = [f"w{r}{k}" for r in axes for k in range(r, 3)]
     placed = (atoms.select("structure_id", "atom_id", "type_id", "x", "y", "z")
                    .join(_axis_grid(structures, r_max), "structure_id"))

@@ -41,6 +41,26 @@ def type_fractions(spark, sf_dir):
     return G.type_fractions(typed(spark, sf_dir)[0]).withColumn("frac", F.round("frac", 6))
 
 
+# the same fractions in a small tilted cell: neighbours lie in images of all directions
+@query("neighbor_pairs_tilted", "atoms", """
+    , f AS (SELECT structure_id, atom_id, type_id, xi::DOUBLE / edge AS u, yi::DOUBLE / edge AS v, zi::DOUBLE / edge AS w FROM atoms),
+    s AS (SELECT a.range AS su, b.range AS sv, c.range AS sw FROM range(-1, 2) a, range(-1, 2) b, range(-1, 2) c),
+    d AS (SELECT a.structure_id, a.type_id AS type_a, b.type_id AS type_b, b.u - a.u + su AS u, b.v - a.v + sv AS v, b.w - a.w + sw AS w
+          FROM f a JOIN f b ON a.structure_id = b.structure_id, s
+          WHERE NOT (a.atom_id = b.atom_id AND su = 0 AND sv = 0 AND sw = 0)),
+    p AS (SELECT structure_id, type_a, type_b, sqrt(pow(6 * u + 2 * v + w, 2) + pow(6 * v - 1.5 * w, 2) + pow(6 * w, 2)) AS d FROM d)
+    SELECT structure_id, type_a, type_b, count(*) AS n_pairs, round(sum(d), 3) AS sum_d, round(max(d), 5) AS max_d
+    FROM p WHERE d < 3.93713 GROUP BY 1, 2, 3""")
+def neighbor_pairs_tilted(spark, sf_dir):
+    atoms, structures = typed(spark, sf_dir)
+    edges = structures.select("structure_id", F.col("cell")[0][0].alias("edge"))
+    u, v, w = (F.col(c) / F.col("edge") for c in "xyz")
+    atoms = atoms.join(edges, "structure_id").withColumns({"x": 6 * u + 2 * v + w, "y": 6 * v - 1.5 * w, "z": 6 * w}).drop("edge")
+    cell = F.expr("array(array(6D, 0D, 0D), array(2D, 6D, 0D), array(1D, -1.5D, 6D))")
+    found = N.neighbor_pairs(atoms, structures.withColumn("cell", cell), 3.93713)
+    return found.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("d"), 3).alias("sum_d"), F.round(F.max("d"), 5).alias("max_d"))
+
+
 @query("neighbor_pairs", "pairs", """
     SELECT structure_id, type_a, type_b, count(*) AS n_pairs, round(sum(d), 4) AS sum_d, round(min(d), 6) AS min_d,
            round(max(d), 6) AS max_d FROM pairs GROUP BY structure_id, type_a, type_b""")
