@@ -1,0 +1,153 @@
+"""Licence scans: recall on wrapped texts and notices that the templates do not hold, and a plain version of every step."""
+
+import textwrap
+
+import pytest
+import xxhash
+
+from latticework.llm import licenses
+
+# Public licence texts and file headers as projects carry them; none is a template of the operator as it stands here.
+TEXTS = {
+    "isc": ["Copyright (c) 2021, A. Writer\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or "
+            "without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, "
+                  "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+                  "purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the "
+                  "author or authors of this software dedicate any and all copyright interest in the software to the public."],
+    "mit": ["The Tool, Copyright 2019 Some Group\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this "
+            "software and associated documentation files (the \"Tool\"), to deal in the Tool without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Tool.",
+            "Use of this file is governed by the terms of the MIT license that can be found in the root of the tree."],
+    "bsd": ["Copyright 2004 The Project. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without "
+            "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must "
+            "retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "apache": ["Copyright 2020 Someone\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+               "except in compliance with the License. You may obtain a copy of the License at\n\n"
+               "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, "
+               "software distributed under the License is distributed on an \"AS IS\" BASIS."],
+    "gpl": ["This file is part of Thing. Thing is free software: you can redistribute it and/or modify it under the terms of the GNU "
+            "General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your "
+            "option) any later version."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+             "License as published by the Free Software Foundation; version 3 of the License."],
+    "agpl": ["Thing is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+             "as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+            "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "cc": ["The figures of this page are licensed under a Creative Commons Attribution 4.0 International License by their authors."],
+}
+CODE = "int main(int argc, char **argv) {\n    return run(argc, argv);\n}"
+# Prose about software, copies and permission that grants nothing.
+PLAIN = [
+    "The committee met again in the autumn to settle the terms of the loan, and the members agreed that no copy of the minutes "
+    "would be sold or given away without the permission of the chair.",
+    "Free software became popular with students, who would copy and modify the programs they used and publish what they had "
+    "learned in small magazines sold at the door of the union.",
+    "Her driving license was taken away in March; the court granted permission to appeal under certain conditions, and the notice "
+    "appeared in all the papers.",
+    "The museum is open to the public from nine to five. Visitors may use the library without charge, provided that they leave "
+    "their bags at the door and follow the list of rules.",
+    "He was released from the hospital under the care of his sister, and the general impression was that he would recover, with "
+    "or without the treatment the doctors had prescribed.",
+]
+
+
+def _wrapped(text: str, width: int, mark: str) -> str:
+    lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+    return "\n".join(mark + line for line in lines) + "\n" + CODE
+
+
+@pytest.fixture(scope="module")
+def cases():
+    forms = [(60, "// "), (72, ""), (78, " * "), (72, "# ")]
+    right = [(family, _wrapped(t, *form)) for family, texts in TEXTS.items() for t in texts for form in forms]
+    plain = [("unknown", _wrapped(t + " " + u, *form)) for t in PLAIN for u in PLAIN for form in forms]
+    return right, plain
+
+
+@pytest.fixture(scope="module")
+def docs(spark, cases):
+    right, plain = cases
+    return spark.createDataFrame([(i, t) for i, (_, t) in enumerate(right + plain)], "doc_id long, text string").repartition(4)
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return licenses.train(docs)
+
+
+@pytest.fixture(scope="module")
+def found(docs, model):
+    return {r.doc_id: r for r in licenses.scan(docs, model=model).collect()}
+
+
+def test_wrapped_licences_are_found_and_prose_is_not(cases, found):
+    right, plain = cases
+    missed = [(i, family, found[i].licence, found[i].n_candidates) for i, (family, _) in enumerate(right) if found[i].licence != family]
+    assert len(missed) <= 0.1 * len(right), missed
+    assert not [i for i in range(len(right), len(right) + len(plain)) if found[i].licences]
+
+
+def _hash(word: str, seed: int = 42) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), seed)
+
+
+def _bigrams(words):
+    return [_hash(b, _hash(a)) for a, b in zip(words, words[1:])] or [_hash(w) for w in words]
+
+
+def _words(text):
+    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
+
+
+def _plain_scan(text, model, known):
+    """Every paragraph scored in full, without the bound."""
+    weights, offsets, margin = model
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\f\r")]
+    passed = []
+    for i in range(len(lines)):
+        short = 0
+        while short < 4 and i + short < len(lines) and len(lines[i + short]) <= licenses.WRAPPED:
+            short += 1
+        for k in [1, *([2] if short > 1 else []), *([short] if short > 2 else [])]:
+            words = _words(" ".join(lines[i: i + k]))
+            one = [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), _hash(w)) for w in words]
+            signed = [h - 2**64 if h >= 2**63 else h for h in one + _bigrams(words)]
+            buckets = dict.fromkeys(h % licenses.BUCKETS for h in signed)
+            scores = [offsets[f] - offsets[0] + sum(weights[f][b] - weights[0][b] for b in buckets) for f in range(1, len(offsets))]
+            top = max(scores)
+            if top >= margin:
+                family, own = scores.index(top) + 1, set(_bigrams(words))
+                passed.append((i, k, family, top, len(own & known[family]) >= licenses.CONFIRM * len(own)))
+    sure = [p for p in passed if p[4]]
+    best = [p for p in sure if not any(
+        q[2] == p[2] and q[0] < p[0] + p[1] and p[0] < q[0] + q[1]
+        and (q[3] > p[3] + 1e-9 or (abs(q[3] - p[3]) <= 1e-9 and q[:2] < p[:2])) for q in sure)]
+    return len(lines), len(passed), [(i, k, licenses.FAMILIES[f]) for i, k, f, *_ in best]
+
+
+def test_scan_equals_scoring_every_paragraph(cases, model, found):
+    known = {n: {h for t in licenses.family_texts(f) for h in _bigrams(_words(t))} for n, f in enumerate(licenses.TEMPLATES, 1)}
+    some = 0
+    for i, (_, text) in enumerate(sum(cases, [])):
+        r = found[i]
+        got = (r.n_paragraphs, r.n_candidates, [(p.paragraph, p.lines, p.family) for p in r.licences])
+        assert got == _plain_scan(text, model, known), i
+        some += len(r.licences)
+    assert some
+
+
+def test_paragraph_forms(spark, model):
+    """Long lines stand alone, blank lines between wrapped ones do not matter, a notice in one line is not diluted."""
+    long_ = "word " * 40
+    texts = [long_ + "\nLicensed under the ISC License.\n" + long_, "Licensed under\n\n\nthe ISC License.", None, "", "//\n//\n",
+             "Licensed under the ISC License.\n" * 3]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licence string")
+    got = {r.doc_id: r for r in licenses.scan(rows, model=model).collect()}
+    assert [got[i].licence for i in range(6)] == ["isc", "isc", "unknown", "unknown", "unknown", "isc"]
+    assert [(p.paragraph, p.lines) for p in got[0].licences] == [(1, 1)]
+    assert [(p.paragraph, p.lines) for p in got[1].licences] == [(0, 2)]
+    assert got[5].n_paragraphs == 3 and got[5].licences
