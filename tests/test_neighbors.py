@@ -152,3 +152,24 @@ def test_zero_distance_pairs_count(spark):
     atoms, cells = frame(spark, "shell", [(1, 1, 1), (1, 1, 1), (5, 5, 5)], [0, 1, 0], np.eye(3) * 30)
     hist = D.pair_histogram(N.neighbor_pairs(atoms, cells)).where("bin = 0").collect()
     assert sorted((r.type_a, r.type_b, r.n) for r in hist) == [(0, 1, 1), (1, 0, 1)]
+
+
+def test_pair_rows_are_complete_where_their_structure_was_gathered(spark):
+    import random
+    draw = random.Random(5)
+    shapes = {1: ([[20.0, 0.0, 0.0], [0.0, 20.0, 0.0], [0.0, 0.0, 20.0]], True),
+              2: ([[6.0, 0.0, 0.0], [2.0, 6.0, 0.0], [1.0, -1.5, 6.0]], True),
+              3: ([[30.0, 0.0, 0.0], [0.0, 9.0, 0.0], [0.0, 0.0, 17.0]], False)}
+    rows = [(s, i, i % 4, *[sum(u * v for u, v in zip(p, column)) for column in zip(*shapes[s][0])])
+            for s in shapes for i in range(23) for p in [[draw.random() for _ in range(3)]]]
+    atoms = spark.createDataFrame(rows, "structure_id long, atom_id long, type_id int, x double, y double, z double")
+    cells = spark.createDataFrame([(s, c, p, 23) for s, (c, p) in shapes.items()],
+                                  "structure_id long, cell array<array<double>>, pbc boolean, n_atoms long")
+    found = D.pair_profiles(atoms, cells)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan[:plan.index("ArrowEvalPython")]
+    got = {tuple(r[:3]): (r.rdf, r.pair_extra) for r in found.collect()}
+    want = {tuple(r[:3]): (r.rdf, r.pair_extra) for r in D._grid_profiles(atoms, cells, None).collect()}
+    assert got.keys() == want.keys() and len(got) == 48
+    for key, pair in want.items():
+        assert got[key][0] == pytest.approx(pair[0], rel=1e-9, abs=1e-12) and got[key][1] == pytest.approx(pair[1], rel=1e-9)
