@@ -173,8 +173,7 @@ def rbf_env_features(spark, sf_dir):
            round(coalesce(r.peak, 0) + e.peak + f.top + 1, 4) AS sum_max
     FROM e JOIN f ON f.structure_id = e.structure_id LEFT JOIN r ON r.structure_id = e.structure_id AND r.type_a = e.type_a""")
 def type_tokens(spark, sf_dir):
-    pairs, types = D.compute_features(*typed(spark, sf_dir), with_env=False)
-    tokens = T.type_tokens(pairs, types)
+    tokens = T.pooled_types(D.packed_features(*typed(spark, sf_dir), with_env=False))
 
     def total(c):
         return F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 4)
@@ -226,6 +225,5 @@ def tilted_softmax(batch):
         SELECT *, w / sum(w) OVER (PARTITION BY structure_id, type_id) AS p,
                row_number() OVER (PARTITION BY structure_id, type_id ORDER BY w DESC, zn) AS rank FROM s) t WHERE rank <= 3""")
 def score_batch(spark, sf_dir):
-    pairs, types = D.compute_features(*typed(spark, sf_dir), with_env=False)
-    probs = P.score_batch(T.padded_rows(pairs, types), tilted_softmax)
+    probs = P.score_batch(T.model_rows(D.packed_features(*typed(spark, sf_dir), with_env=False)), tilted_softmax)
     return P.top_candidates(probs, 3).select("structure_id", "type_id", "rank", "zn", F.round("p", 5).alias("p"))

@@ -173,3 +173,15 @@ def test_pair_rows_are_complete_where_their_structure_was_gathered(spark):
     assert got.keys() == want.keys() and len(got) == 48
     for key, pair in want.items():
         assert got[key][0] == pytest.approx(pair[0], rel=1e-9, abs=1e-12) and got[key][1] == pytest.approx(pair[1], rel=1e-9)
+
+
+def test_packed_rows_are_not_moved_after_they_are_described(spark):
+    from latticework.operators import tokens as T
+    rng = np.random.default_rng(3)
+    atoms, cells = frame(spark, "a", rng.random((30, 3)) * 20, np.arange(30) % 3, np.eye(3) * 20)
+    packed = D.packed_features(atoms, cells, with_env=False, carry=cells.selectExpr("structure_id", "n_atoms AS size"))
+    for shaped in (T.model_rows(packed), T.pooled_types(packed)):
+        plan = shaped._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("ArrowEvalPython")] and "SortMergeJoin" not in plan[:plan.index("ArrowEvalPython")]
+    row = T.model_rows(packed).first()
+    assert (row.size, row.n_types, row.type_ids, len(row.rdf)) == (30, 3, [0, 1, 2], 9)
