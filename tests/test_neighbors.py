@@ -185,3 +185,11 @@ def test_packed_rows_are_not_moved_after_they_are_described(spark):
         assert "Exchange" not in plan[:plan.index("ArrowEvalPython")] and "SortMergeJoin" not in plan[:plan.index("ArrowEvalPython")]
     row = T.model_rows(packed).first()
     assert (row.size, row.n_types, row.type_ids, len(row.rdf)) == (30, 3, [0, 1, 2], 9)
+
+
+def test_crop_counts_points_on_its_margin_as_inside(spark):
+    side = 61.2  # 8 / side and the fraction of 8 differ by rounding
+    positions = np.vstack([[[8.0, 12.0, 12.0], [13.0, 13.0, 13.0]], np.full((298, 3), side - 1.0)])
+    atoms, cells = frame(spark, "a", positions, np.zeros(300), np.eye(3) * side)
+    points, _ = S.interior_crop(atoms, cells, 200, min_centers=1)
+    assert [(r.atom_id, r.is_center) for r in points.where("x < 20").orderBy("atom_id").collect()] == [(0, True), (1, True)]
