@@ -177,6 +177,17 @@ add_view("joint", "joint3 cand", """
         SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY cost, z0, z1, z2, z3) AS rn FROM (
             SELECT j.structure_id, z0, z1, z2, d.zn AS z3, j.cost - d.logp AS cost
             FROM joint3 j JOIN cand d ON d.structure_id = j.structure_id AND d.type_id = 3) t) r WHERE rn <= 300""")
+# the same search over the types a structure has: the last one may have fewer than four, and nothing is left out for it
+add_view("some_types", "cand", "SELECT structure_id, type_id, dense_rank() OVER (PARTITION BY structure_id ORDER BY type_id) AS place, zn, logp FROM cand")
+add_view("some1", "some_types", "SELECT structure_id, [zn] AS zs, 0.0 - logp AS cost FROM some_types WHERE place = 1")
+for _place in (2, 3, 4):
+    add_view(f"some{_place}", f"some{_place - 1} some_types", f"""
+        SELECT structure_id, zs, cost FROM (
+            SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY cost, zs) AS rn FROM (
+                SELECT a.structure_id, CASE WHEN c.zn IS NULL THEN a.zs ELSE list_append(a.zs, c.zn) END AS zs,
+                       a.cost - coalesce(c.logp, 0) AS cost
+                FROM some{_place - 1} a LEFT JOIN some_types c ON c.structure_id = a.structure_id AND c.place = {_place}) t) r
+        WHERE rn <= 300""")
 add_view("zsets", "joint", "SELECT DISTINCT z0, z1, z2, z3 FROM joint")
 add_view("neutral", "zsets oxidation", """
     SELECT z0, z1, z2, z3, CASE WHEN min(abs(0.1 * o0.q + 0.2 * o1.q + 0.3 * o2.q + 0.4 * o3.q)) < 1e-9 THEN 0
@@ -213,7 +224,7 @@ def joined(zs):
     return F.array_join(F.transform(zs, lambda z: z.cast("string")), "-")
 
 
-@query("beam_candidates", "joint", f"SELECT structure_id, {_ZS} AS zs, round(s, 6) AS s FROM joint")
+@query("beam_candidates", "some4", "SELECT structure_id, array_to_string(zs, '-') AS zs, round(-cost, 6) AS s FROM some4")
 def beam_candidates(spark, sf_dir):
     found = J.beam_candidates(joint_inputs(spark, sf_dir)[0])
     return found.select("structure_id", joined("zs").alias("zs"), F.round("s", 6).alias("s"))

@@ -193,3 +193,28 @@ def test_pruned_candidates_are_the_best_of_all(spark):
             best = np.argsort(-logp[s, t])[:10]
             partial = sorted((c - logp[s, t, z], zs + (int(z) + 1,)) for c, zs in partial for z in best)[:60]
         assert sorted(tuple(r.zs) for r in got if r.structure_id == s) == sorted(zs for _, zs in partial)
+
+
+@pytest.fixture(scope="module")
+def short_structure(spark, tmp_path_factory):
+    """Tables whose last structure has two types; the others have four."""
+    folder = tmp_path_factory.mktemp("short")
+    draws = np.random.default_rng(5).normal(size=(10, 64)).astype("float32")
+    vectors = pd.DataFrame({"vec_id": range(10), "label": [i % 10 for i in range(10)], "embedding": list(draws)})
+    vectors.to_parquet(folder / "embeddings.parquet")
+    pd.DataFrame({"l_orderkey": [1, 1, 2], "l_partkey": [1, 2, 2]}).to_parquet(folder / "lineitem.parquet")
+    pd.DataFrame({"p_partkey": [1, 2], "p_brand": ["Brand#3", "Brand#8"]}).to_parquet(folder / "part.parquet")
+    return str(folder)
+
+
+def test_candidates_of_a_structure_with_fewer_types(spark, short_structure):
+    import duckdb
+
+    from latticework.registry import ORACLES, QUERIES, load_all
+    load_all()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{short_structure}/embeddings.parquet'")
+    want = {(int(a), b, round(c, 5)) for a, b, c in con.execute(ORACLES["beam_candidates"]).fetchall()}
+    rows = QUERIES["beam_candidates"](spark, short_structure).collect()
+    assert {(r.structure_id, r.zs, round(r.s, 5)) for r in rows} == want
+    assert sum(r.structure_id == 2 for r in rows) == 100 and len(rows) == 700
