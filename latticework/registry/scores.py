@@ -274,7 +274,9 @@ def marginals(spark, sf_dir):
         WHERE rn <= 12),""" + _MARGINAL)
 def rerank_external(spark, sf_dir):
     found = reranked(spark, sf_dir)
-    f = F.expr("((zs[0] * 3 + zs[1] * 5 + zs[2] * 7 + zs[3] * 11) % 13) / 10D")
+    # a structure may have fewer than four types: those it lacks count nothing
+    weighted = sum((F.coalesce(F.get("zs", F.lit(k)), F.lit(0)) * w for k, w in enumerate((3, 5, 7, 11))), F.lit(0))
+    f = weighted % 13 / F.lit(10.0)
     external = found.select("structure_id", "zs", f.alias("f"))
     return J.rerank_external(found, external).withColumn("p", F.round("p", 6))
 

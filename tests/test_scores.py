@@ -218,3 +218,11 @@ def test_candidates_of_a_structure_with_fewer_types(spark, short_structure):
     rows = QUERIES["beam_candidates"](spark, short_structure).collect()
     assert {(r.structure_id, r.zs, round(r.s, 5)) for r in rows} == want
     assert sum(r.structure_id == 2 for r in rows) == 100 and len(rows) == 700
+
+
+def test_external_scores_of_a_structure_with_fewer_types(spark, short_structure):
+    from latticework.registry import QUERIES, load_all
+    load_all()
+    got = QUERIES["rerank_external"](spark, short_structure).toPandas()
+    assert got.groupby("structure_id").type_id.nunique().to_dict() == {0: 4, 1: 4, 2: 2}
+    assert np.allclose(got.groupby(["structure_id", "type_id"]).p.sum(), 1, atol=1e-4)
