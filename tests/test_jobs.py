@@ -143,3 +143,13 @@ def test_profile_report(spark, corpus, tmp_path):
     jobs.profile_corpus(corpus[0], None, str(tmp_path / "report"))
     rows = spark.read.json(str(tmp_path / "report")).collect()
     assert {(r.metric, r.value): r.n for r in rows}["n_distinct", "2"] == 12
+
+
+def test_lines_of_one_task_are_bounded(spark, monkeypatch):
+    from latticework.registry import base
+    monkeypatch.setattr(base, "TASK_LINES", 250)
+    lines = spark.range(0, 5000, 1, 3).selectExpr("id % 200 AS structure_id", "id AS o", "CAST(id % 7 + 1 AS INT) AS label", "id * 7 AS c")
+    found = base._gathered(lines, 5000)
+    sizes = found.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) > 10 and sizes.max() <= 1000 and sizes.sum() == 5000
+    assert found.where("first").count() == 200 and found.where("n_atoms <> 25").isEmpty()
