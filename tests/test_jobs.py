@@ -153,3 +153,17 @@ def test_lines_of_one_task_are_bounded(spark, monkeypatch):
     sizes = found.groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert len(sizes) > 10 and sizes.max() <= 1000 and sizes.sum() == 5000
     assert found.where("first").count() == 200 and found.where("n_atoms <> 25").isEmpty()
+
+
+def test_structure_queries_read_small_parts(spark):
+    from latticework.session import tune
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        assert tune(spark, structures=True).conf.get(key) == "16m"
+        wide = spark.range(0, 8_000_000, 1, 8).selectExpr("xxhash64(id) AS k", "id AS v").repartition("k")
+        wide.write.format("noop").mode("overwrite").save()
+        sizes = wide.groupBy(F.spark_partition_id()).count().count()
+        assert sizes >= 5
+    finally:
+        spark.conf.set(key, before)
