@@ -193,3 +193,35 @@ def test_crop_counts_points_on_its_margin_as_inside(spark):
     atoms, cells = frame(spark, "a", positions, np.zeros(300), np.eye(3) * side)
     points, _ = S.interior_crop(atoms, cells, 200, min_centers=1)
     assert [(r.atom_id, r.is_center) for r in points.where("x < 20").orderBy("atom_id").collect()] == [(0, True), (1, True)]
+
+
+def test_environments_of_small_structures_are_ranked_in_place(spark, monkeypatch):
+    """The batch function finds the rows of the grid join, with images and sampled centres, and packs them alike."""
+    rng = np.random.default_rng(16)
+    cell = np.array([(6, 0, 0), (2, 13, 0), (1, 1.5, 9)])
+    positions = np.concatenate([rng.random((30, 3)) @ cell, rocksalt()[0][:8]])
+    atoms, cells = frame(spark, "a", positions, rng.integers(0, 3, len(positions)), cell)
+    more, boxes = frame(spark, "b", rng.random((20, 3)) * 30, rng.integers(0, 2, 20), np.eye(3) * 30, pbc=False)
+    lone, box = frame(spark, "c", [(1, 1, 1)], [0], np.eye(3) * 30)
+    atoms, cells = atoms.unionByName(more).unionByName(lone), cells.unionByName(boxes).unionByName(box)
+    centers = atoms.where("atom_id % 3 > 0")
+
+    def both():
+        env = N.environment_sets(atoms, cells, centers)
+        rows = sorted((r.structure_id, r.i, r.type_a, r["rank"], round(r.d, 9), r.type_b) for r in env.collect())
+        packed = sorted((r.structure_id, r.type_id, str(r.env)) for r in N.packed_environments(atoms, cells, centers).collect())
+        assert packed == sorted((r.structure_id, r.type_id, str(r.env)) for r in N.pack_environments(env).collect())
+        return rows, packed
+
+    small = both()
+    assert any("ArrowEvalPython" in line for line in N.environment_sets(atoms, cells, centers)._jdf.queryExecution().toString().splitlines())
+    monkeypatch.setattr(N, "SMALL", 0)
+    assert both() == small and small[0]
+
+
+def test_batch_functions_run_once(spark):
+    """Spark filters on what it explodes; the function must not be run for that filter as well."""
+    positions, types, cell = rocksalt()
+    atoms, cells = frame(spark, "r", positions, types, cell)
+    for rows in (D.pair_profiles(atoms, cells), N.environment_sets(atoms, cells, atoms)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
