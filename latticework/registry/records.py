@@ -158,7 +158,7 @@ def pad_types(spark, sf_dir):
         f"avg(exp(-0.5 / pow(6.0 / 16, 2) * pow(d - {k} * 6.0 / 15, 2))) AS r{k}" for k in range(16)) + """
           FROM env GROUP BY 1, 2, 3) t GROUP BY 1, 2""")
 def rbf_env_features(spark, sf_dir):
-    pooled = T.pool_environments(environments(spark, sf_dir))
+    pooled = T.pool_environments(environments(spark, sf_dir, grouped=True))
     return pooled.select("structure_id", "type_id", *[F.round(F.col("rbf")[k], 6).alias(f"r{k}") for k in range(16)])
 
 
