@@ -15,6 +15,7 @@ from ..functions import lattice as L
 from ..functions.ordered import row_index
 from ..operators.gates import drop_virtual
 from ..operators.geometry import relabel_types, wrap_positions
+from ..session import staged
 from .jsonscan import json_entries
 
 SITE = "STRUCT<species: ARRAY<STRUCT<element: STRING, occu: DOUBLE>>, xyz: ARRAY<DOUBLE>>"
@@ -34,18 +35,21 @@ def read_nested_json(spark: SparkSession, path: str | list[str], recursive: bool
     entries = json_entries(spark, path, recursive)
     parsed = entries.select("file", "block", "k", F.from_json("json", f"MAP<STRING, MAP<STRING, {FRAME}>>", {"mode": "FAILFAST"}).alias("m"))
     materials = parsed.select("file", "block", "k", F.explode("m").alias("material_id", "frames"))
-    frames = materials.select("file", "block", "k", "material_id", F.posexplode("frames").alias("place", "frame_key", "f"))
-    frames = row_index(frames, ["material_id"], ["file", "block", "k", "place"], "frame_index").select(
-        F.concat_ws("#", "material_id", "frame_key").alias("structure_id"), "material_id", "frame_key", "frame_index",
+    opened = materials.select("file", "block", "k", "material_id", F.posexplode("frames").alias("place", "frame_key", "f"))
+    # parsed once: the count of frames, frames and sites all read this table
+    opened = staged(opened.select(
+        "file", "block", "k", "place", F.concat_ws("#", "material_id", "frame_key").alias("structure_id"), "material_id", "frame_key",
         F.col("f.mp_id").alias("inner_id"), F.col("f.structure.charge").alias("charge"),
         F.col("f.structure.lattice.matrix").alias("cell"), F.lit(True).alias("pbc"),
-        F.size("f.structure.sites").cast("long").alias("n_atoms"), F.col("f.structure.sites").alias("_sites"))
-    sites = (frames.select("structure_id", F.posexplode("_sites").alias("atom_id", "s"))
+        F.size("f.structure.sites").cast("long").alias("n_atoms"), F.col("f.structure.sites").alias("_sites")), "frames")
+    frames = row_index(opened.drop("_sites"), ["material_id"], ["file", "block", "k", "place"], "frame_index").select(
+        "structure_id", "material_id", "frame_key", "frame_index", "inner_id", "charge", "cell", "pbc", "n_atoms")
+    sites = (opened.select("structure_id", F.posexplode("_sites").alias("atom_id", "s"))
                    .select("structure_id", F.col("atom_id").cast("long").alias("atom_id"), F.col("s.xyz").alias("p"),
                            F.posexplode("s.species").alias("pos", "e"))
                    .select("structure_id", "atom_id", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")], "pos",
                            F.col("e.element").alias("symbol"), F.col("e.occu").alias("occupancy")))
-    return frames.drop("_sites"), sites
+    return frames, sites
 
 
 def first_species(sites: DataFrame) -> DataFrame:

@@ -303,3 +303,13 @@ def test_malformed_site_rows_are_listed_and_fail(spark, tmp_path):
     assert [r.row for r in nested.site_rejects(spark, str(tmp_path)).collect()] == ['{"structure_id": "b", "cell": [[']
     with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
         nested.read_sites(spark, str(tmp_path))[1].collect()
+
+
+def test_nested_json_is_parsed_once(spark, tmp_path):
+    site = '{"species":[{"element":"Li","occu":1}],"xyz":[0,1,2]}'
+    (tmp_path / "a.json").write_text('{"m":{"f":{"mp_id":"m","structure":{"charge":null,"lattice":{"matrix":[]},"sites":[' + site + ']}},"g":null}}')
+    frames, sites = nested.read_nested_json(spark, str(tmp_path))
+    for df in (frames, sites):
+        assert "from_json" not in df._jdf.queryExecution().analyzed().toString()
+    assert [(r.structure_id, r.frame_index) for r in frames.orderBy("frame_index").collect()] == [("m#f", 0), ("m#g", 1)]
+    assert [(r.structure_id, r.atom_id, r.z, r.symbol) for r in sites.collect()] == [("m#f", 0, 2.0, "Li")]
