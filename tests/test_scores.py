@@ -58,6 +58,14 @@ def test_raps_set_includes_the_crossing_class(spark):
     assert K.raps_sets(probs, calib).first().members == [1, 2, 3]
 
 
+def test_raps_set_ends_at_a_score_equal_to_the_threshold(spark):
+    # (p1 + p2 + p3) - p3 is below p1 + p2 by rounding; the threshold is the second class's own score
+    p = (.31, .3, .29, .1)
+    assert p[0] + p[1] + p[2] - p[2] < p[0] + p[1]
+    calib = spark.createDataFrame([(p[0] + p[1], .02, 4)], "qhat double, lam double, k_reg int")
+    assert K.raps_sets(long_probs(spark, {"a": p}).drop("model"), calib).first().members == [1, 2]
+
+
 def test_calibration_matches_numpy(spark):
     rng = np.random.default_rng(1)
     raw = rng.dirichlet(np.full(12, .5), 300)
