@@ -225,3 +225,27 @@ def test_batch_functions_run_once(spark):
     atoms, cells = frame(spark, "r", positions, types, cell)
     for rows in (D.pair_profiles(atoms, cells), N.environment_sets(atoms, cells, atoms)):
         assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("small", [0, 256])
+def test_contacts_are_found_without_pair_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    rng = np.random.default_rng(5)
+    parts, want = [], set()
+    for k in range(24):  # thin, tilted and open cells; some points lie outside
+        cell = np.array([(7, 0, 0), (1, 6, 0), (-1, .5, 8)] if k % 3 else [(1.2 if k % 2 else 1.8, 0, 0), (0, 9, 0), (0, 2, 9)], float)
+        positions = (rng.random((5, 3)) * 2 - .5) @ cell
+        parts.append(frame(spark, f"s{k}", positions, np.arange(5) % 2, cell, k % 4 != 2))
+        if k % 4 == 2:
+            gaps = np.linalg.norm(positions[:, None] - positions[None], axis=-1)[~np.eye(5, dtype=bool)]
+            near = (gaps < 1.5).any()
+        else:
+            near = bool(brute(positions, None, cell, 1.5))
+        want |= set() if near else {f"s{k}"}
+    atoms, cells = parts[0]
+    for a, c in parts[1:]:
+        atoms, cells = atoms.union(a), cells.union(c)
+    found_ = N.contact_free(atoms, cells, 1.5)
+    assert {r.structure_id for r in found_.collect()} == want and 0 < len(want) < 24
+    plan = found_._jdf.queryExecution().optimizedPlan().toString()
+    assert small == 0 or "explode" not in plan.lower()
