@@ -152,6 +152,22 @@ def test_blocks_grow_so_that_the_schedule_stays_bounded(spark, monkeypatch):
     assert top[0] < 40 and top[1] > 4 and got.where("mix_epoch = 0").count() == 2_000
 
 
+def test_schedule_goes_on_from_stretch_to_stretch(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 700)
+    weights = {"a": 5.0, "b": 3.1, None: 0.7, "c": 1 / 3}
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    rows = sorted((r.slot, "" if r.source is None else r.source, r.k) for r in mixing.schedule(table, 1_500).collect())
+    whole = {s or "": round(w / sum(weights.values()) * mixing.WHOLE) for s, w in weights.items()}
+    whole = dict(sorted(whole.items()))
+    assert rows == [(t, *x) for t, x in enumerate(_earliest_deadline_first(whole, 1_500))]
+
+
+def test_blocks_keep_their_size_in_a_long_mixture(spark):
+    docs = spark.range(140_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    got = mixing.mix(docs, block=1).agg(F.max("mix_slot"), F.max("mix_offset"), F.count(F.lit(1))).first()
+    assert tuple(got) == (139_999, 0, 140_000)
+
+
 def test_a_source_of_little_weight_is_not_rounded_up(spark):
     docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3_000)] + [(9_000, "d")], "doc_id long, source string")
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 0.0003)], "source string, weight double")
