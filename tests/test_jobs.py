@@ -112,6 +112,18 @@ def test_baseline_classifier(spark, corpus):
     assert best.where("structure_id IS NULL").first().top1 == 24
 
 
+def test_baseline_trains_on_vectors_that_carry_their_labels(spark, corpus):
+    atoms, cells = corpus
+    named = G.relabel_types(atoms.where("structure_id <> 'lonely'"))
+    labels = named.select("structure_id", "type_id", "zn").distinct()
+    zns = labels.groupBy("structure_id").agg(F.map_from_entries(F.collect_list(F.struct("type_id", "zn"))).alias("zns"))
+    packed = D.packed_features(named, cells.where("n_atoms > 1"), with_env=False, carry=zns)
+    vectors = tokens.pooled_types(packed).withColumn("zn", F.element_at("zns", F.col("type_id"))).drop("zns").cache()
+    assert {tuple(r) for r in vectors.select("structure_id", "type_id", "zn").collect()} == {tuple(r) for r in labels.collect()}
+    own, joined = learning.train_baseline(vectors, max_iter=3), learning.train_baseline(vectors.drop("zn"), labels, max_iter=3)
+    assert np.allclose(*[m.stages[0].coefficientMatrix.toArray() for m in (own, joined)], atol=1e-9)
+
+
 def test_augmentation_is_deterministic_and_valid(spark, corpus):
     atoms, cells = corpus
     named = G.relabel_types(atoms.where("structure_id <> 'lonely'"))
