@@ -179,3 +179,17 @@ def test_structure_queries_read_small_parts(spark):
         assert sizes >= 5
     finally:
         spark.conf.set(key, before)
+
+
+def test_records_are_not_moved_after_they_are_described(spark, corpus):
+    atoms, cells = corpus
+    named = G.relabel_types(atoms.where("structure_id <> 'lonely'"))
+    gids = named.groupBy("structure_id").agg(F.countDistinct("type_id").cast("int").alias("_types"), F.count("*").alias("gid"))
+    places = store.with_part(gids, ("_types",), 5)
+    assert places.count() == gids.count() and places.agg(F.countDistinct("_types", "_part")).first()[0] > 1
+    records = D.packed_features(named, cells.where("n_atoms > 1"), with_env=False, carry=places, by=("_types", "_part"))
+    tasks = records.withColumn("task", F.spark_partition_id()).groupBy("_types", "_part").agg(F.countDistinct("task").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] == 1 and records.count() == gids.count()
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("ArrowEvalPython")]
+    assert "Exchange" not in above
